@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fellscape.llm.clusters import describe_groups, similarity_groups
 from fellscape.llm.components import boruvka_components
+from fellscape.llm.leaks import leaked_items
 from fellscape.llm.quantile_digest import build_digests, digest_quantiles, merge_digests
+from fellscape.llm.sentences import sentences
 from fellscape.llm.splits import assign_splits, digits_as_number, entity_components, pool_number
+from fellscape.llm.tokens import decode_corpus, encode_corpus, single_texts
 from fellscape.llm.vectors import complete, nearest_vectors, similar_pairs
 from fellscape.session import latest, table
 
@@ -42,6 +46,26 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def _clusters(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = _space(spark, folder, "expression").select("key", "vec")
+    return rows, similarity_groups(rows, *SPACES["expression"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells in groups of three or more, with the smallest cell of the group; groups stay unsplit here."""
+    _, groups = _clusters(spark, folder)
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n")).where("n >= 3")
+    return groups.join(sizes, "group").select(F.col("key").alias("cell_no"), F.col("group").alias("cluster_no"))
+
+
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of three or more cells with size and most typical cells; loose groups are split."""
+    rows, groups = _clusters(spark, folder)
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n")).where("n >= 3").select("group")
+    found = describe_groups(groups.join(sizes, "group"), rows, *SPACES["expression"])
+    return found.select(F.col("group").alias("group_no"), F.col("cluster").alias("cluster_no"), "size", F.array_join(F.transform("typical", lambda x: x.cast("string")), ",").alias("typical"))
+
+
 def _donors(spark: SparkSession, folder: str) -> DataFrame:
     study = table(spark, folder, "study_cells")
     return study.select("obs_no", digits_as_number(F.col("donor")).alias("donor_no"), pool_number(F.col("replicate")).alias("pool_no"))
@@ -96,7 +120,42 @@ def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return digest_quantiles(merge_digests(days, _GROUP), _GROUP, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, folder, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and how many of them decode to their own text."""
+    documents = table(spark, folder, "documents")
+    back = decode_corpus(encode_corpus(documents)).withColumnRenamed("text", "decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return single_texts(documents).join(back, "doc_id").agg(F.count("*").alias("documents"), F.coalesce(F.sum(same.cast("bigint")), F.lit(0)).alias("exact"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaked items and the number of documents that hold them."""
+    return p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences of every document."""
+    return sentences(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
+    "p8_ids": p8_ids,
+    "p8_roundtrip": p8_roundtrip,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
+    "p10_found": p10_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
@@ -106,6 +165,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p8_roundtrip": "SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS exact FROM documents WHERE doc_id IS NOT NULL",
     "p6_found": """
 WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_no ORDER BY loaded_at DESC) AS rn FROM fit_cells) WHERE rn = 1 AND deleted_at IS NULL),
 v AS (SELECT 'energy' AS measure_name, fit_id, label, energy AS x FROM cur UNION ALL SELECT 'commitment_time', fit_id, label, commitment_time FROM cur),
