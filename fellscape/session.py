@@ -49,9 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and its lineage cut by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and its lineage cut by a reliable checkpoint in the shared folder.
+
+    The size estimate is cut as well: a checkpoint keeps that of its plan, and in a loop of joins
+    the estimate would be squared in every round, to numbers of ever more digits.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def parallelism(spark: SparkSession) -> int:
