@@ -258,13 +258,13 @@ def commitment_profile(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(met.groupBy("fit_id", "label").agg(F.count("*").alias("n"), F.avg("q").alias("mean_q"), F.coalesce(F.stddev_samp("q"), F.lit(0.0)).alias("sd_q")))
 
 
-@query(rounded_sql(_COMM, "ft.fit_id; ~ln(1 + sum(exp(least(greatest(-(b_energy - a_energy), -40), 40)) * greatest(0, y.q - x.q))) AS log_flux; count(*) FILTER (WHERE y.q > x.q) AS steps",
+@query(rounded_sql(_COMM, "ft.fit_id; ~ln(1 + sum(exp(least(greatest(-(b_energy - a_energy), -40), 40)) * greatest(0, y.q - x.q))) AS log_flux; count(*) FILTER (WHERE y.q > x.q + 1e-9) AS steps",
     "FROM ft JOIN qq x ON x.fit_id = ft.fit_id AND x.idx = src JOIN qq y ON y.fit_id = ft.fit_id AND y.idx = dst GROUP BY ft.fit_id", 5))
 def reactive_flux(spark: SparkSession, folder: str) -> DataFrame:
     """Logarithm of the total reactive flux of every fit and its forward steps."""
     nodes = fit_nodes(spark, folder).join(_committor(spark, folder), ["fit_id", "idx"])
     fl = E.reactive_flux(E.with_ends(fit_edges(spark, folder), nodes, ["energy", "q"], BY))
-    return rounded(fl.groupBy("fit_id").agg(F.log(1 + F.sum("flux")).alias("log_flux"), F.sum((F.col("b_q") > F.col("a_q")).cast("bigint")).alias("steps")), 5)
+    return rounded(fl.groupBy("fit_id").agg(F.log(1 + F.sum("flux")).alias("log_flux"), F.sum((F.col("b_q") > F.col("a_q") + 1e-9).cast("bigint")).alias("steps")), 5)
 
 
 @query(rounded_sql(_COMM + """, dn AS (SELECT DISTINCT ft.fit_id, src, dst, y.q - x.q AS gain FROM ft JOIN qq x ON x.fit_id = ft.fit_id AND x.idx = src JOIN qq y ON y.fit_id = ft.fit_id AND y.idx = dst WHERE y.q > x.q + 1e-4)""",
