@@ -83,7 +83,7 @@ def scan(queries: np.ndarray, qkeys: np.ndarray, radius2: np.ndarray, base: np.n
             exact[~np.isfinite(np.take_along_axis(part, best, 1))] = np.inf
             r2 = np.minimum(r2, exact.max(1))
         slack = 1e-9 * (1.0 + r2)
-        i, j = np.nonzero(part <= (r2 * limits[0] + slack)[:, None])
+        i, j = np.nonzero((part <= (r2 * limits[0] + slack)[:, None]) & np.isfinite(part))
         p = part[i, j]
         for (lo, hi), lim in zip(blocks[1:], limits[1:]):
             p = p + ((q[i, lo:hi] - rb[j, lo:hi]) ** 2).sum(1)
