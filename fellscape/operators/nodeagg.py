@@ -91,7 +91,7 @@ def pair_fluxes(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), floo
     by = list(by)
     mass = nodes.groupBy(*by).agg(F.sum("density").alias("mass"))
     p = nodes.join(mass, by) if by else nodes.crossJoin(mass)
-    p = p.select(*by, F.col("idx"), F.greatest(F.col("density") / F.col("mass"), F.lit(1e-15)).alias("p"))
+    p = p.select(*by, F.col("idx"), F.greatest(F.col("density") / F.greatest(F.col("mass"), F.lit(1e-300)), F.lit(1e-15)).alias("p"))
     way = F.when(F.col("src") < F.col("dst"), F.col("work"))
     back = F.when(F.col("src") > F.col("dst"), F.col("work"))
     both = (

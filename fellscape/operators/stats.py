@@ -26,7 +26,8 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     clean = df.where(finite(x) & finite(y))
     ranked = clean.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by))
     flat = (F.var_pop("_rx") == 0) | (F.var_pop("_ry") == 0) | (F.count("*") < 2)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.corr("_rx", "_ry")).alias("rho"))
+    rho = F.covar_pop("_rx", "_ry") / (F.stddev_pop("_rx") * F.stddev_pop("_ry"))  # corr() itself fails on constants
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(flat, 0.0).otherwise(rho).alias("rho"))
 
 
 def spearman_ordinal(df: DataFrame, x: str, y: str, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +80,7 @@ def jackknife(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     clean = df.where(finite(x))
     n, s, s2 = F.count("*").cast("double"), F.sum(x), F.sum(F.col(x) * F.col(x))
     return clean.groupBy(*by).agg(
-        F.count("*").alias("n"), ((s - F.max(x)) / (n - 1)).alias("low"), ((s - F.min(x)) / (n - 1)).alias("high"), F.sqrt(F.greatest(F.lit(0.0), s2 - s * s / n) / (n * (n - 1))).alias("standard_error")
+        F.count("*").alias("n"), ((s - F.max(x)) / F.nullif(n - 1, F.lit(0.0))).alias("low"), ((s - F.min(x)) / F.nullif(n - 1, F.lit(0.0))).alias("high"), F.sqrt(F.greatest(F.lit(0.0), s2 - s * s / n) / F.nullif(n * (n - 1), F.lit(0.0))).alias("standard_error")
     ).where("n > 1")
 
 
