@@ -135,20 +135,21 @@ def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = (),
     """
     by = list(by)
     e = cut(edges.groupBy(*by, "src", "dst").agg(F.min("cost").alias("c")))
-    best = cut(sources.select(*by, "idx", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")).distinct())
-    front = best
-    for _ in range(steps):
-        came = (
-            e.join(front.select(*by, F.col("idx").alias("src"), "cost"), [*by, "src"])
-            .groupBy(*by, F.col("dst").alias("idx"))
-            .agg(F.min(F.struct((F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("via"))).alias("n"))
-        )
-        met = best.join(came, [*by, "idx"], "full")
-        better = F.col("n").isNotNull() & (F.col("cost").isNull() | (F.col("n.cost") < F.col("cost") - 1e-12))
-        new = cut(met.select(*by, "idx", F.when(better, F.col("n.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("n.via")).otherwise(F.col("via")).alias("via"), better.alias("moved")))
-        best, front = new.drop("moved"), new.where("moved").select(*by, "idx", "cost")
-        if front.isEmpty():
+    start = sources.select(*by, "idx", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")).distinct()
+
+    def step(best: DataFrame) -> DataFrame:
+        came = e.join(best.select(*by, F.col("idx").alias("src"), "cost"), [*by, "src"]).select(*by, F.col("dst").alias("idx"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("via"))
+        return best.unionByName(came).groupBy(*by, "idx").agg(F.min(F.struct("cost", "via")).alias("b")).select(*by, "idx", "b.cost", "b.via")
+
+    best, sums = cut(start), None
+    for k in range(0, steps, CHECK):
+        for _ in range(min(CHECK, steps - k)):
+            best = step(best)
+        best = cut(best)
+        now = tuple(best.agg(F.count("*"), F.sum("cost"), F.bit_xor(F.xxhash64(*by, "idx", "cost"))).first())
+        if now == sums:
             break
+        sums = now
     return best
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,16 +87,33 @@ def column_moments(genes: DataFrame) -> DataFrame:
 
 
 def covariance_matrix(cells: DataFrame, vector: str, dim: int, shrink: float = 0.0) -> DataFrame:
-    """(a, b, cov) for a <= b: sample covariance by one aggregation over dim * (dim + 1) / 2 sums.
+    """(a, b, cov) for a <= b: sample covariance of the vectors of ``dim`` finite numbers; others are left out.
 
-    Needs no self join of genes. ``shrink`` moves it towards the isotropic matrix of equal trace.
+    Every task adds up the products of its rows, shifted by the means, in numpy and sends
+    dim * (dim + 1) / 2 sums; there is no self join of genes. ``shrink`` moves the matrix towards
+    the isotropic one of equal trace. Fewer than two vectors give nulls.
     """
-    x = lambda i: F.get(vector, F.lit(i)).cast("double")
-    pairs = [(a, b) for a in range(dim) for b in range(a, dim)]
-    row = cells.agg(*[F.covar_samp(x(a), x(b)).alias(f"c{a}_{b}") for a, b in pairs])
-    trace = row.select(sum((F.col(f"c{a}_{a}") for a in range(dim)), F.lit(0.0)).alias("t"), "*")
-    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), ((1 - shrink) * F.col(f"c{a}_{b}") + (shrink * F.col("t") / dim if a == b else F.lit(0.0))).alias("cov")) for a, b in pairs])
-    return trace.select(F.inline(items))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rows = cells.where(F.col(vector).isNotNull() & (F.size(vector) == dim) & ~F.exists(vector, bad)).select(F.col(vector).cast("array<double>").alias("x"))
+    first = rows.agg(*[F.avg(F.get("x", F.lit(i))) for i in range(dim)]).first()
+    shift = np.array([v or 0.0 for v in first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, p = 0, np.zeros(dim), np.zeros((dim, dim))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) - shift
+            n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
+        a, c = np.triu_indices(dim)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(np.full(len(a), n)), pa.array(s[a]), pa.array(s[c]), pa.array(p[a, c])], names=["a", "b", "n", "sa", "sb", "p"])
+
+    t = rows.mapInArrow(run, "a INT, b INT, n BIGINT, sa DOUBLE, sb DOUBLE, p DOUBLE").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "p")])
+    c = (F.col("p") - F.col("sa") * F.col("sb") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+    out = t.select("a", "b", c.alias("cov"))
+    if not shrink:
+        return out
+    trace = out.where("a = b").agg(F.sum("cov").alias("t"))  # one row
+    return out.crossJoin(trace).select("a", "b", ((1 - shrink) * F.col("cov") + F.when(F.col("a") == F.col("b"), shrink * F.col("t") / dim).otherwise(0.0)).alias("cov"))
 
 
 def principal_axes(cells: DataFrame, vector: str, dim: int, k: int) -> tuple[DataFrame, list[list[float]]]:
@@ -103,8 +122,6 @@ def principal_axes(cells: DataFrame, vector: str, dim: int, k: int) -> tuple[Dat
     Only the dim x dim covariance reaches the driver. The sign makes the largest absolute loading
     of each axis positive.
     """
-    import numpy as np
-
     c = np.zeros((dim, dim))
     for a, b, v in covariance_matrix(cells, vector, dim).collect():  # dim * (dim + 1) / 2 rows
         c[a, b] = c[b, a] = v or 0.0

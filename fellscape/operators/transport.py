@@ -15,12 +15,13 @@ def _lse(df: DataFrame, key: str, x) -> DataFrame:
     return rows.withColumn("m", top).groupBy(key, "m").agg((F.col("m") + F.log(F.sum(F.exp(F.col("x") - F.col("m"))))).alias("l")).select(key, "l")
 
 
-def sinkhorn(costs: DataFrame, a: DataFrame, b: DataFrame, epsilon: float = 0.1, steps: int = 50, tolerance: float | None = None, damping: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sinkhorn(costs: DataFrame, a: DataFrame, b: DataFrame, epsilon: float = 0.1, steps: int = 50, tolerance: float | None = None, damping: float = 1.0, relax: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(plan, f, g): plan (i, j, cost, p) with its dual potentials.
 
     ``costs``: i, j, cost; ``a``: i, mass; ``b``: j, mass (both normalized here). One step updates
     f, then g; ``damping`` below 1 mixes the update with the old potential (its fixed point is
-    that of the balanced problem). With ``tolerance`` the greatest marginal violation is read every
+    that of the balanced problem). ``relax`` is the price of leaving the marginals in the
+    Kullback-Leibler sense (unbalanced transport); None keeps them. With ``tolerance`` the greatest marginal violation is read every
     5 steps.
     """
     total_a, total_b = a.agg(F.sum("mass").alias("t")), b.agg(F.sum("mass").alias("t"))
@@ -29,13 +30,14 @@ def sinkhorn(costs: DataFrame, a: DataFrame, b: DataFrame, epsilon: float = 0.1,
     c = cut(costs.join(la, "i").join(lb, "j").select("i", "j", "cost", "la", "lb"))
     f = cut(c.select("i").distinct().withColumn("f", F.lit(0.0)))
     g = cut(c.select("j").distinct().withColumn("g", F.lit(0.0)))
+    keep = 1.0 if relax is None else relax / (relax + epsilon)
     for k in range(1, steps + 1):
         row = c.join(g, "j")
         new = _lse(row, "i", (F.col("g") - F.col("cost")) / epsilon).join(c.select("i", "la").distinct(), "i")
-        f = f.join(new, "i").select("i", (damping * epsilon * (F.col("la") - F.col("l")) + (1 - damping) * F.col("f")).alias("f"))
+        f = f.join(new, "i").select("i", (damping * keep * epsilon * (F.col("la") - F.col("l")) + (1 - damping) * F.col("f")).alias("f"))
         col = c.join(f, "i")
         new = _lse(col, "j", (F.col("f") - F.col("cost")) / epsilon).join(c.select("j", "lb").distinct(), "j")
-        g = g.join(new, "j").select("j", (damping * epsilon * (F.col("lb") - F.col("l")) + (1 - damping) * F.col("g")).alias("g"))
+        g = g.join(new, "j").select("j", (damping * keep * epsilon * (F.col("lb") - F.col("l")) + (1 - damping) * F.col("g")).alias("g"))
         f, g = cut(f), cut(g)
         if tolerance is not None and k % 5 == 0:
             p = _plan(c, f, g, epsilon)

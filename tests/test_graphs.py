@@ -161,3 +161,11 @@ def test_work_falls_downhill(spark):
     got = {r.src: r for r in E.edge_work(E.velocity_alignment(ends, 1), 1).collect()}
     assert len(got) == 2 and got[0].alignment == 1 and got[1].alignment == 0
     assert got[0].work == pytest.approx(-np.log(2) - 1 + 0.5) and got[1].work == pytest.approx(np.log(2) + 0.5)
+
+
+def test_relaxed_transport_moves_less_mass_far(spark):
+    a = spark.createDataFrame([(0, 0.0, 1.0), (1, 50.0, 1.0)], "i BIGINT, x DOUBLE, mass DOUBLE")
+    b = spark.createDataFrame([(0, 0.0, 1.0), (1, 1.0, 1.0)], "j BIGINT, x DOUBLE, mass DOUBLE")
+    plan, _, _ = O.sinkhorn(O.squared_costs(a, b, ["x"]), a.select("i", "mass"), b.select("j", "mass"), 0.5, 20, relax=1.0)
+    by = {r.i: r.s for r in plan.groupBy("i").agg(F.sum("p").alias("s")).collect()}
+    assert by[1] < 0.01 < by[0]
