@@ -296,8 +296,9 @@ def _probes(scope: str, own: int, keys: np.ndarray, x: np.ndarray, radius2: np.n
     for s in range(0, len(keys), step):
         rel = half - 2.0 * (x[s : s + step] @ book.T)
         margin = (rel - rel[:, own : own + 1]) / (2.0 * apart)
-        margin[:, own] = np.inf
-        q, to = np.nonzero(margin <= np.sqrt(radius2[s : s + step])[:, None] + 1e-9)
+        near = margin <= np.sqrt(radius2[s : s + step])[:, None] + 1e-9
+        near[:, own] = False  # also where the radius is infinite
+        q, to = np.nonzero(near)
         if len(q):
             yield _probe_rows(scope, to, keys[s + q], x[s + q], radius2[s + q], None)
 

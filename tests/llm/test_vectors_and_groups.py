@@ -152,3 +152,12 @@ def test_leaves_keep_the_order():
     assert (np.diff(leaf) >= 0).all() and leaf.min() >= 0 and leaf.max() < 1 << 24
     big = np.abs(x) > 1e-200
     assert np.allclose(value_of(leaf)[big], x[big], rtol=3e-4)
+
+
+def test_lonely_lists_without_a_limit(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(500, 3)), rng.normal(size=(3, 3)) + 60.0])
+    keys = np.arange(len(x))
+    rows = [(r.key, r.neighbour) for r in nearest_vectors(frame(spark, x, keys), 3, 5, None, list_size=50).collect()]
+    want = brute(x, keys, 5, 1e9)
+    assert len(rows) == len(set(rows)) == len(want) and len(set(rows) & want) / len(want) > 0.99
