@@ -144,6 +144,22 @@ def test_knn_on_a_line_with_ties(spark):
     assert exact_knn(p.limit(0), "idx", ["x"], 2).count() == 0
 
 
+@pytest.mark.parametrize("piece", [4096, 40])
+def test_knn_over_many_cells_is_exact(spark, monkeypatch, piece):
+    import fellscape.operators.knn as K
+
+    monkeypatch.setattr(K, "CELL", 60)
+    monkeypatch.setattr(K, "PIECE", piece)
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(size=(900, 3)), np.round(rng.normal(size=(300, 3)))]  # the second part has copies and ties
+    rows = spark.createDataFrame([(int(i), *map(float, r)) for i, r in enumerate(x)], "idx BIGINT, a DOUBLE, b DOUBLE, c DOUBLE")
+    got = {(r.src, r.rank): r.dst for r in exact_knn(rows, "idx", ["a", "b", "c"], 4).collect()}
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(1200), d.shape), d), axis=1)[:, :4]
+    assert got == {(i, r + 1): int(want[i, r]) for i in range(1200) for r in range(4)}
+
+
 def test_sinkhorn_marginals_and_shift(spark):
     a = spark.createDataFrame([(i, float(i % 3), float(i // 3), 1.0) for i in range(6)], "i BIGINT, x DOUBLE, y DOUBLE, mass DOUBLE")
     b = spark.createDataFrame([(i, i % 3 + 0.1, float(i // 3), 1.0) for i in range(6)], "j BIGINT, x DOUBLE, y DOUBLE, mass DOUBLE")
