@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fellscape.functions.scalar import finite, hash_index, hash_uniform
+from fellscape.session import cut
 
 
 def average_rank(x: str, by: Sequence[str] = ()) -> Column:
@@ -21,10 +22,42 @@ def ordinal_rank(x: str, key: str, by: Sequence[str] = ()) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(x, key))
 
 
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column, name: str) -> DataFrame:
+    """``df`` with the sum of a weight over the rows of its group up to each row, in an order without ties.
+
+    Rows are range-partitioned by (group, order): windows run inside partitions only and are lifted by
+    the totals of the partitions before, so neither a group nor the whole table is sorted in one task.
+    """
+    spread = cut(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()).withColumn("_w", weight))
+    per = spread.groupBy(*by, "_p").agg(F.sum("_w").alias("_s"))  # one row a group and partition
+    before = per.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], F.col("_p").alias("_q"), (F.sum("_s").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_s")).alias("_o"))
+    inner = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_p") == F.col("_q")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    out = spread.withColumn("_i", F.sum("_w").over(inner)).join(before, same)
+    return out.withColumn(name, F.col("_o") + F.col("_i")).select(*df.columns, name)
+
+
+def with_average_rank(df: DataFrame, x: str, by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the rank of x from 1, ties averaged; equal values are counted before they are ordered."""
+    counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
+    ranks = running_total(counts, by, [x], F.col("_n"), "_upto").select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col(x).alias("_x"), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+    same = F.col(x) == F.col("_x")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(ranks, same).select(*df.columns, name)
+
+
+def with_ordinal_rank(df: DataFrame, order: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the place from 1 in an order without ties."""
+    return running_total(df, by, order, F.lit(1), name)
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with averaged ties over finite pairs; 0 for constant input or fewer than two pairs."""
-    clean = df.where(finite(x) & finite(y))
-    ranked = clean.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by))
+    clean = df.where(finite(x) & finite(y)).select(*by, x, y)
+    ranked = with_average_rank(with_average_rank(clean, x, by, "_rx"), y, by, "_ry")
     flat = (F.var_pop("_rx") == 0) | (F.var_pop("_ry") == 0) | (F.count("*") < 2)
     rho = F.covar_pop("_rx", "_ry") / (F.stddev_pop("_rx") * F.stddev_pop("_ry"))  # corr() itself fails on constants
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(flat, 0.0).otherwise(rho).alias("rho"))
@@ -32,10 +65,10 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 def spearman_ordinal(df: DataFrame, x: str, y: str, key: str, by: Sequence[str] = ()) -> DataFrame:
     """1 - 6 sum d^2 / (n (n^2 - 1)) on ordinal ranks; 0 for fewer than two rows."""
-    clean = df.where(finite(x) & finite(y))
-    d = ordinal_rank(x, key, by) - ordinal_rank(y, key, by)
-    n = F.count("*").cast("double")
-    return clean.withColumn("_d", d.cast("double")).groupBy(*by).agg(F.count("*").alias("n"), F.when(n < 2, 0.0).otherwise(1 - 6 * F.sum(F.col("_d") * F.col("_d")) / (n * (n * n - 1))).alias("rho"))
+    clean = df.where(finite(x) & finite(y)).select(*by, x, y, key)
+    ranked = with_ordinal_rank(with_ordinal_rank(clean, [x, key], by, "_rx"), [y, key], by, "_ry")
+    d, n = (F.col("_rx") - F.col("_ry")).cast("double"), F.count("*").cast("double")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(n < 2, 0.0).otherwise(1 - 6 * F.sum(d * d) / (n * (n * n - 1))).alias("rho"))
 
 
 def robust_summary(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -59,10 +92,11 @@ def winsorized_mean(df: DataFrame, x: str, by: Sequence[str] = (), low: float =
 
 def weighted_quantile(df: DataFrame, x: str, weight: str, key: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """First value at which the running weight reaches q of the total; weights at or below 0 count nothing."""
-    clean = df.where(finite(x) & (F.col(weight) > 0))
-    run = Window.partitionBy(*by).orderBy(x, key).rowsBetween(Window.unboundedPreceding, 0)
-    seen = clean.withColumn("_c", F.sum(weight).over(run)).withColumn("_t", F.sum(weight).over(Window.partitionBy(*by)))
-    return seen.where(F.col("_c") >= q * F.col("_t")).groupBy(*by).agg(F.min(x).alias("value"))
+    clean = df.where(finite(x) & (F.col(weight) > 0)).select(*by, x, weight, key)
+    seen = running_total(clean, by, [x, key], F.col(weight), "_c")
+    total = clean.groupBy(*by).agg(F.sum(weight).alias("_t"))
+    met = seen.join(total, list(by)) if by else seen.crossJoin(total)
+    return met.where(F.col("_c") >= q * F.col("_t")).groupBy(*by).agg(F.min(x).alias("value"))
 
 
 def weighted_moments(df: DataFrame, x: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
@@ -108,12 +142,11 @@ def calibration_error(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def top_share_recall(df: DataFrame, p: str, y: str, key: str, share: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """Share of the top ceil(share * n) outcomes that are among as many top predictions."""
-    clean = df.where(finite(p) & finite(y))
-    w = Window.partitionBy(*by)
-    n = F.ceil(F.lit(share) * F.count("*").over(w))
-    place = lambda c: F.row_number().over(w.orderBy(F.desc(c), key))
-    ranked = clean.select(*by, n.alias("k"), place(p).alias("rp"), place(y).alias("ry"))
-    return ranked.groupBy(*by).agg(F.max("k").alias("k"), (F.sum(((F.col("rp") <= F.col("k")) & (F.col("ry") <= F.col("k"))).cast("double")) / F.max("k")).alias("recall"))
+    clean = df.where(finite(p) & finite(y)).select(*by, key, (-F.col(p)).alias("_p_"), (-F.col(y)).alias("_y_"))
+    size = clean.groupBy(*by).agg(F.ceil(F.lit(share) * F.count("*")).alias("k"))
+    ranked = with_ordinal_rank(with_ordinal_rank(clean, ["_p_", key], by, "_rp"), ["_y_", key], by, "_ry")
+    met = ranked.join(size, list(by)) if by else ranked.crossJoin(size)
+    return met.groupBy(*by).agg(F.max("k").alias("k"), (F.sum(((F.col("_rp") <= F.col("k")) & (F.col("_ry") <= F.col("k"))).cast("double")) / F.max("k")).alias("recall"))
 
 
 def least_squares(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -177,7 +210,7 @@ def bootstrap_means(df: DataFrame, x: str, key: str, replicates: int, by: Sequen
     Rows are numbered per group in the order of ``key``; draw i of replicate r takes row
     hash(seed, r, i) mod n, so the same samples come out in any engine.
     """
-    clean = df.where(finite(x)).select(*by, F.col(x).alias("x"), (F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1).alias("at"))
+    clean = with_ordinal_rank(df.where(finite(x)).select(*by, F.col(x).alias("x"), key), [key], by, "_r").select(*by, "x", (F.col("_r") - 1).alias("at"))
     n = clean.groupBy(*by).agg(F.count("*").alias("n"))
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     draws = (clean.join(n, list(by)) if by else clean.crossJoin(n)).select(*by, "n", "at", reps.alias("rep"))
@@ -196,8 +229,8 @@ def permutation_test(df: DataFrame, x: str, group: str, key: str, replicates: in
     diff = F.avg(F.when(F.col("g"), F.col("x"))) - F.avg(F.when(~F.col("g"), F.col("x")))
     seen = clean.agg(diff.alias("observed"), F.sum(F.col("g").cast("int")).alias("m"))
     reps = clean.select("x", "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy(hash_uniform(F.lit(seed), "rep", "k"), "k"))
-    mixed = reps.withColumn("place", place).crossJoin(seen).withColumn("g", F.col("place") <= F.col("m"))
+    drawn = reps.withColumn("u", hash_uniform(F.lit(seed), "rep", "k"))
+    mixed = with_ordinal_rank(drawn, ["u", "k"], ["rep"], "place").crossJoin(seen).withColumn("g", F.col("place") <= F.col("m"))
     null = mixed.groupBy("rep", "observed").agg(diff.alias("d"))
     return null.groupBy("observed").agg(((F.sum((F.abs("d") >= F.abs("observed") - 1e-12).cast("int")) + 1) / (F.count("*") + 1.0)).alias("p_value"), F.avg("d").alias("null_mean"))
 

@@ -80,11 +80,11 @@ def transportability(per_study: DataFrame, rho: str = "rho", n: str = "n") -> Da
 def holdout_donors(donors: DataFrame, donor: str, share: float = 0.25, seed: int = 3) -> DataFrame:
     """(donor, held_out): the ceil(share * n) donors of the smallest hashes are held out."""
     from fellscape.functions.scalar import hash_uniform
+    from fellscape.operators.stats import with_ordinal_rank
 
-    d = donors.select(donor).where(F.col(donor).isNotNull()).distinct()
-    every = Window.partitionBy(F.lit(0))
-    place = F.row_number().over(every.orderBy(hash_uniform(F.lit(seed), donor), donor))
-    return d.select(donor, (place <= F.ceil(F.lit(share) * F.count("*").over(every))).alias("held_out"))
+    d = donors.select(donor).where(F.col(donor).isNotNull()).distinct().withColumn("_u", hash_uniform(F.lit(seed), donor))
+    n = d.agg(F.ceil(F.lit(share) * F.count("*")).alias("_k"))  # one row
+    return with_ordinal_rank(d, ["_u", donor], [], "_r").crossJoin(n).select(donor, (F.col("_r") <= F.col("_k")).alias("held_out"))
 
 
 def path_ensemble(works: DataFrame, by: Sequence[str], direction: str, forward: str, temperature: float = 1.0) -> DataFrame:

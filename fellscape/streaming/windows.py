@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fellscape.functions.scalar import finite
+from fellscape.operators.stats import with_ordinal_rank
 
 
 def fnv1a(values: Sequence[float]) -> int:
@@ -21,9 +22,13 @@ def fnv1a(values: Sequence[float]) -> int:
 
 
 def count_windows(events: DataFrame, source: str, value: str, order: Sequence[str], size: int) -> DataFrame:
-    """(source, window, n, mean, p50, p95, complete): tumbling windows of ``size`` values per source, with the tail."""
-    at = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
-    placed = events.where(finite(value)).withColumn("window", F.floor(at / size).cast("bigint"))
+    """(source, window, n, mean, p50, p95, complete): tumbling windows of ``size`` values per source, with the tail.
+
+    ``order`` must tell all rows of a source apart; places come from range partitions, so a source
+    that holds most events is not sorted in one task.
+    """
+    rows = events.where(finite(value)).select(source, value, *[c for c in order if c not in (source, value)])
+    placed = with_ordinal_rank(rows, order, [source], "_at").withColumn("window", F.floor((F.col("_at") - 1) / size).cast("bigint"))
     return placed.groupBy(source, "window").agg(
         F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), (F.count("*") == size).alias("complete")
     )
