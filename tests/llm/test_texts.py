@@ -120,3 +120,21 @@ def test_model_without_training_still_splits():
     found, _ = gaps("A. B. C", 0, 7)
     assert len(boundaries(m, found)) == len(found)
     assert list(blocks("")) == []
+
+
+def test_rare_left_contexts_keep_their_counts(spark, monkeypatch):
+    """Marginals over all gaps: the same however many count types there are, and those of the local model."""
+    import fellscape.llm.sentences as m
+
+    monkeypatch.setattr(m, "TYPES", 40, raising=False)
+    rng = random.Random(5)
+    docs = [f"Seen by Dr. {''.join(rng.choices('bdfgklm', k=5)).title()} and reran {rng.randrange(99)} fits. Then {rng.choice(WORDS)} came back! All of it went up." for _ in range(300)]
+    table = documents(spark, docs)
+    got = {}
+    for r in sentences(table).collect():
+        got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    model = Model([tuple(r) for r in m.corpus_counts(table).collect()]).frozen()
+    assert {d: sorted(x) for d, x in got.items()} == {i: split_text(t, model) for i, t in enumerate(docs)}
+    assert all(not t[s:e].endswith("Dr.") for i, t in enumerate(docs) for s, e in got[i])
+    for r in m.posteriors(m.corpus_counts(table)).collect():
+        assert r.p == pytest.approx(model.posterior(r.w1, r.l, r.r)) and r.p0 == pytest.approx(model.posterior("<s>", r.l, r.r))
