@@ -127,11 +127,12 @@ def spectrum_summary(mass: DataFrame, edges: DataFrame, by: Sequence[str] = ())
     return met.groupBy(*by).agg(F.sum(F.col("mass") * F.coalesce("h", F.lit(0.0))).alias("entropy_rate"), (-F.sum(F.when(F.col("mass") > 0, F.col("mass") * F.log("mass")).otherwise(0.0))).alias("entropy"))
 
 
-def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = (), steps: int = 64) -> DataFrame:
-    """(by, idx, cost, via): least cost from any source by at most ``steps`` edges, with the predecessor.
+def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, idx, cost, via): least cost from any source, with the predecessor.
 
     Bellman-Ford as a loop of minimum joins; costs may be negative. Of equal costs the smaller
-    predecessor stands. Unreached nodes have no row. The loop ends when nothing improves.
+    predecessor stands. Unreached nodes have no row. The loop ends when nothing improves; a cycle of
+    negative cost, where that never happens, is an error.
     """
     by = list(by)
     e = cut(edges.groupBy(*by, "src", "dst").agg(F.min("cost").alias("c")))
@@ -141,16 +142,19 @@ def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = (),
         came = e.join(best.select(*by, F.col("idx").alias("src"), "cost"), [*by, "src"]).select(*by, F.col("dst").alias("idx"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("via"))
         return best.unionByName(came).groupBy(*by, "idx").agg(F.min(F.struct("cost", "via")).alias("b")).select(*by, "idx", "b.cost", "b.via")
 
-    best, sums = cut(start), None
-    for k in range(0, steps, CHECK):
-        for _ in range(min(CHECK, steps - k)):
+    ends = e.select(*by, "src").union(e.select(*by, "dst")).distinct()
+    most = (ends.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) + 2 * CHECK
+    best, sums, done = cut(start), None, 0
+    while True:
+        for _ in range(CHECK):
             best = step(best)
-        best = cut(best)
+        best, done = cut(best), done + CHECK
         now = tuple(best.agg(F.count("*"), F.sum("cost"), F.bit_xor(F.xxhash64(*by, "idx", "cost"))).first())
         if now == sums:
-            break
+            return best
+        if done > most:
+            raise ValueError("a cycle of negative cost")
         sums = now
-    return best
 
 
 def greedy_walk(starts: DataFrame, edges: DataFrame, by: Sequence[str] = (), steps: int = 16) -> DataFrame:

@@ -309,12 +309,13 @@ def schnakenberg(pairs: DataFrame, graph: str, top: int = 5) -> DataFrame:
     return pairs.groupBy(graph).applyInPandas(run, f"`{graph}` {kind}, rank INT, a BIGINT, b BIGINT, nodes ARRAY<BIGINT>, affinity DOUBLE, current DOUBLE, contribution DOUBLE")
 
 
-def propagate_energy(sources: DataFrame, edges: DataFrame, graph: str, temperature: float = 1.0, max_paths: int = 16, rounds: int = 64) -> DataFrame:
+def propagate_energy(sources: DataFrame, edges: DataFrame, graph: str, temperature: float = 1.0, max_paths: int = 16) -> DataFrame:
     """(graph, idx, energy, reached): free energy -T ln <exp(-W/T)> over path works from the source.
 
-    Level-synchronous: in every round the nodes improved in the round before send their best path
-    works (at most ``max_paths``, smallest first) along their out-edges in the order of (source,
-    target); a node keeps its ``max_paths`` smallest works. Nodes not reached have the greatest
+    Level-synchronous: in every round the nodes improved in the round before send their path works
+    along their out-edges in the order of (source, target); a node holds the first ``max_paths``
+    works that come and none is replaced, so the rounds end by themselves, when no energy falls,
+    also on cycles of negative work. Nodes not reached have the greatest
     finite energy of the graph. One graph a task; graphs run in parallel.
     """
     rows = edges.select(graph, "src", "dst", "work").unionByName(sources.select(graph, F.col("idx").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(None).cast("double").alias("work")))
@@ -328,23 +329,22 @@ def propagate_energy(sources: DataFrame, edges: DataFrame, graph: str, temperatu
         works = {s: [0.0] for s in start}
         energy = {s: 0.0 for s in start}
         front = sorted(start)
-        for _ in range(rounds):
+        while front:
             came: dict = {}
             for u in front:
                 for v, w in out.get(u, ()):
-                    came.setdefault(v, []).extend(x + w for x in works[u])
+                    xs = came.setdefault(v, [])
+                    xs.extend(x + w for x in works[u][: max_paths - len(xs)])
             front = []
             for v, xs in sorted(came.items()):
-                if v in start:
+                if v in start or len(held := works.setdefault(v, [])) >= max_paths:
                     continue
-                held = sorted([*works.get(v, []), *xs])[:max_paths]
+                held.extend(xs[: max_paths - len(held)])
                 a = -np.array(held) / temperature
                 e = -temperature * (a.max() + np.log(np.exp(a - a.max()).mean()))
                 if v not in energy or e < energy[v] - 1e-10:
-                    energy[v], works[v] = e, held
+                    energy[v] = e
                     front.append(v)
-            if not front:
-                break
         nodes = sorted({*real["src"].astype("int64"), *real["dst"].astype("int64"), *start})
         worst = max(energy.values(), default=0.0)
         return pd.DataFrame({graph: frame[graph].iloc[0], "idx": nodes, "energy": [float(energy.get(x, worst)) for x in nodes], "reached": [x in energy for x in nodes]})

@@ -185,3 +185,21 @@ def test_relaxed_transport_moves_less_mass_far(spark):
     plan, _, _ = O.sinkhorn(O.squared_costs(a, b, ["x"]), a.select("i", "mass"), b.select("j", "mass"), 0.5, 20, relax=1.0)
     by = {r.i: r.s for r in plan.groupBy("i").agg(F.sum("p").alias("s")).collect()}
     assert by[1] < 0.01 < by[0]
+
+
+def test_propagation_rests_on_cycles_of_negative_work(spark):
+    """A node holds its first works: a cycle that lowers them fills the lists, and no number of rounds sets the energies."""
+    e = spark.createDataFrame([("g", 0, 1, -1.0), ("g", 1, 2, -1.0), ("g", 2, 1, -1.0)], "g STRING, src BIGINT, dst BIGINT, work DOUBLE")
+    s = spark.createDataFrame([("g", 0)], "g STRING, idx BIGINT")
+    got = {r.idx: r.energy for r in T.propagate_energy(s, e, "g", max_paths=2).collect()}
+    one, two = np.array([1.0, 3.0]), np.array([2.0, 2.0])  # 1: 0-1, 0-1-2-1; 2: 0-1-2, and once more from 1's first work
+    assert got == pytest.approx({0: 0.0, 1: -np.log(np.exp(one).mean()), 2: -np.log(np.exp(two).mean())})
+
+
+def test_shortest_costs_beyond_64_edges_and_negative_cycles(spark):
+    chain = [(i, i + 1, 1.0) for i in range(90)] + [(0, 90, 500.0)]
+    s = spark.createDataFrame([(0,)], "idx BIGINT")
+    got = {r.idx: r.cost for r in X.shortest_costs(s, spark.createDataFrame(chain, "src BIGINT, dst BIGINT, cost DOUBLE")).collect()}
+    assert got == {i: float(i) for i in range(91)}
+    with pytest.raises(ValueError):
+        X.shortest_costs(s, spark.createDataFrame([(0, 1, 1.0), (1, 0, -2.0)], "src BIGINT, dst BIGINT, cost DOUBLE"))
