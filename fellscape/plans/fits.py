@@ -47,6 +47,13 @@ def edge_current(spark: SparkSession, folder: str) -> DataFrame:
 ORACLE["edge_current"] = ORACLE["edge_current"] + " WHERE abs(b_energy - a_energy) < 12"
 
 
+@query(rounded_sql(FITS, "edge_no; ~sign(c) * ln(1 + abs(c)) AS log_current", "FROM (SELECT edge_no, (exp(-least(greatest(b_energy - a_energy, -50), 50)) - exp(least(greatest(b_energy - a_energy, -50), 50))) * alignment AS c FROM ft)"))
+def edge_current_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Current of every edge, the steepest included, as its signed logarithm."""
+    c = F.col("current")
+    return rounded(E.edge_current(fit_ends(spark, folder)).select("edge_no", (F.signum(c) * F.log1p(F.abs(c))).alias("log_current")))
+
+
 @query(rounded_sql(FITS, "edge_no; ~CASE WHEN src = 1 OR dst = 1 THEN alignment * 0.25 ELSE alignment END AS alignment_cf", "FROM fe"))
 def counterfactual_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Alignment with the edges of node 1 damped."""

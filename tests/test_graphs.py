@@ -203,3 +203,12 @@ def test_shortest_costs_beyond_64_edges_and_negative_cycles(spark):
     assert got == {i: float(i) for i in range(91)}
     with pytest.raises(ValueError):
         X.shortest_costs(s, spark.createDataFrame([(0, 1, 1.0), (1, 0, -2.0)], "src BIGINT, dst BIGINT, cost DOUBLE"))
+
+
+def test_currents_of_steep_edges_are_kept(spark, monkeypatch):
+    from fellscape.plans import fits
+
+    ends = spark.createDataFrame([(1, 0.0, 1.0, 1.0), (2, 0.0, 20.0, 0.5), (3, 90.0, 0.0, 1.0)], "edge_no BIGINT, a_energy DOUBLE, b_energy DOUBLE, alignment DOUBLE")
+    monkeypatch.setattr(fits, "fit_ends", lambda spark, folder: ends)
+    got = {r.edge_no: r.log_current for r in fits.edge_current_all(spark, "").collect()}
+    assert got == pytest.approx({1: -np.log1p(np.exp(1) - np.exp(-1)), 2: -np.log1p(0.5 * np.exp(20)), 3: 50.0}, abs=1e-5)
