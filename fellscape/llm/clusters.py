@@ -24,7 +24,7 @@ from fellscape.llm.vectors import _groups, _matrix, _packed
 from fellscape.session import cut, parallelism
 
 TOKENS, WIDTH = 64, 4.0  # tokens a record; width of a token's cell in units of the distance limit
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 96, 5
 #: Bands whose links are contracted before the other bands are looked at.
 FIRST_BANDS = 4
 #: Least Jaccard similarity of a link; two records at the limit share 0.67 in expectation.

@@ -161,3 +161,14 @@ def test_lonely_lists_without_a_limit(spark):
     rows = [(r.key, r.neighbour) for r in nearest_vectors(frame(spark, x, keys), 3, 5, None, list_size=50).collect()]
     want = brute(x, keys, 5, 1e9)
     assert len(rows) == len(set(rows)) == len(want) and len(set(rows) & want) / len(want) > 0.99
+
+
+def test_pairs_at_the_distance_limit_meet_in_a_band():
+    """Recall of the candidates just at the limit, in 24 numbers."""
+    import fellscape.llm.clusters as m
+
+    rng = np.random.default_rng(1)
+    x, d = 2 * rng.normal(size=(20_000, 24)), rng.normal(size=(20_000, 24))
+    y = x + 2.0 * d / np.linalg.norm(d, axis=1)[:, None]
+    met = m.min_hash_bands(m.token_cells(x, 2.0)) == m.min_hash_bands(m.token_cells(y, 2.0))
+    assert met.any(1).mean() > 0.9985
