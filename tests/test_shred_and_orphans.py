@@ -73,9 +73,12 @@ def failing(spark, folder):
     return sorted((r.ref_table, r.ref_field, r.ref_no, r.reason) for r in p7_found(spark, folder).collect())
 
 
-@pytest.mark.parametrize("bits", [orphans.MAX_BITS, 1])  # with the filter, and without for too many parents
+@pytest.mark.parametrize("bits", [orphans.MAX_BITS, 1])  # one filter, and a filter for each part of the parents
 def test_reasons_of_failing_references(spark, tmp_path, monkeypatch, bits):
     monkeypatch.setattr(orphans, "MAX_BITS", bits)
+    if bits == 1:
+        monkeypatch.setattr(orphans, "PART_BITS", 16)
+        monkeypatch.setattr(orphans, "SLICE", 2)
     cells = [(1, "CL-1", T[4], None), (1, "CL-1", T[10], T[12]), (2, "cl-2 ", T[0], None), (2, "cl-2 ", T[0], None)]
     nodes = [("A", 10, "CL-1", T[11], None), ("A", 11, "CL-9", T[11], None), ("A", 11, " ", T[12], None), ("B", 12, "Cl-2", T[0], T[5]), ("A", 13, "CL-1", T[13], None)]
     edges = [(1, "A", 10, 11, T[12]), (1, "A", 10, 11, T[12]), (2, "A", 12, None, T[12]), (3, "B", 12, 12, T[6]), (4, "A", 10, 10, T[2]), (5, None, 10, 99, T[2])]
@@ -90,3 +93,13 @@ def test_reasons_of_failing_references(spark, tmp_path, monkeypatch, bits):
 def test_empty_parents_and_references(spark, tmp_path):
     write(spark, str(tmp_path), [], [], [(1, "A", 1, 2, T[0])], [(1, "x", T[0])])
     assert failing(spark, str(tmp_path)) == [("fit_edges", "source", 1, "missing"), ("fit_edges", "target", 1, "missing"), ("study_cells", "cell_id", 1, "missing")]
+
+
+def test_filters_of_parts_prove_most_orphans_and_lose_no_parent(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "PART_BITS", 1 << 12)
+    monkeypatch.setattr(orphans, "SLICE", 500)
+    parents = spark.range(0, 4000, 2).select(F.col("id").alias("k"))
+    refs = spark.range(4000).select(F.col("id").alias("k"), F.lit(1).alias("bloom"), F.lit("x").alias("part")).unionByName(spark.range(3000).select(F.lit(2).cast("bigint").alias("k"), F.lit(1).alias("bloom"), F.lit("x").alias("part")))
+    flagged = orphans.flag_by_parts(refs, parents, ["k"], 2000).groupBy((F.col("k") % 2 == 0).alias("there"), "_maybe").count().collect()
+    got = {(r.there, r._maybe): r["count"] for r in flagged}
+    assert got[True, True] == 5000 and (True, False) not in got and got[False, False] > 1900
