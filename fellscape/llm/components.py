@@ -25,7 +25,7 @@ def _both_ways(edges: DataFrame, scope: list[str]) -> DataFrame:
 def canonical_edges(edges: DataFrame, a: str, b: str, scope: list[str]) -> DataFrame:
     """Distinct undirected edges u < v; edges with a null end or scope and self edges drop out."""
     return (
-        edges.select(*scope, F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
+        edges.select(*scope, F.col(a).alias("a"), F.col(b).alias("b"))
         .dropna()
         .where("a <> b")
         .select(*scope, F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
@@ -100,10 +100,10 @@ def star_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> D
 
     Large-star links every larger neighbour of a node to the smallest vertex of its neighbourhood,
     small-star every smaller one and the node itself; both keep the components and end in stars
-    around their smallest vertices. Nulls, self edges, repeats and empty tables as in
+    around their smallest vertices. Vertices may be of any type with an order. Nulls, self edges, repeats and empty tables as in
     ``boruvka_components``.
     """
-    clean = edges.select(F.col(a).cast("bigint").alias("_a"), F.col(b).cast("bigint").alias("_b")).dropna()
+    clean = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).dropna()
     nodes = clean.select(F.explode(F.array("_a", "_b")).alias("node")).distinct()
     work = cut(canonical_edges(clean, "_a", "_b", []))
     before = _state(work)

@@ -72,17 +72,21 @@ def _donors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Donors tied to at least one other donor through pools, with the smallest donor of the group."""
+    """Donors tied to at least one other donor through pools, with the smallest donor of the group.
+
+    Numbers of any length tie; a donor beyond BIGINT has no row, since the column cannot hold it.
+    """
     comp = entity_components(_donors(spark, folder).where("donor_no is not null"), ["donor_no", "pool_no"]).where("entity_kind = 0")
-    groups = comp.groupBy("component").agg(F.min("entity_no").alias("group_no"), F.count("*").alias("n")).where("n > 1")
-    return comp.join(groups, "component").select(F.col("entity_no").alias("donor_no"), "group_no")
+    comp = comp.withColumn("donor_no", F.expr("try_cast(entity AS BIGINT)"))
+    groups = comp.groupBy("component").agg(F.min("donor_no").alias("group_no"), F.count("*").alias("n")).where("n > 1")
+    return comp.where("donor_no is not null").join(groups, "component").select("donor_no", "group_no")
 
 
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Component and split of every observation of study_cells and trial_observations."""
     study = _donors(spark, folder).select(F.lit("study_cells").alias("ref_table"), F.col("obs_no").alias("ref_no"), "donor_no", "pool_no")
     trial = table(spark, folder, "trial_observations").select(
-        F.lit("trial_observations").alias("ref_table"), F.col("trial_no").alias("ref_no"), digits_as_number(F.col("donor_id")).alias("donor_no"), F.lit(None).cast("bigint").alias("pool_no")
+        F.lit("trial_observations").alias("ref_table"), F.col("trial_no").alias("ref_no"), digits_as_number(F.col("donor_id")).alias("donor_no"), F.lit(None).cast("string").alias("pool_no")
     )
     return assign_splits(study.unionByName(trial), ["ref_table", "ref_no"], ["donor_no", "pool_no"])
 

@@ -33,14 +33,13 @@ def plain(text: Column) -> Column:
 
 
 def digits_as_number(text: Column) -> Column:
-    """All digits of a text read as one number; null without digits or beyond 18 digits."""
+    """All digits of a text as the text of one number of any length, without leading zeros; null without digits."""
     digits = F.regexp_replace(plain(text), "[^0-9]", "")
-    trimmed = F.regexp_replace(digits, "^0+(?=[0-9])", "")
-    return F.when((trimmed != "") & (F.length(trimmed) <= 18), trimmed.cast("bigint"))
+    return F.nullif(F.regexp_replace(digits, "^0+(?=[0-9])", ""), F.lit(""))
 
 
 def pool_number(text: Column) -> Column:
-    """The number of the pool that a replicate text names; null if it names none."""
+    """The number of the pool that a replicate text names, as text; null if it names none."""
     return digits_as_number(F.nullif(F.regexp_extract(plain(text), POOL, 1), F.lit("")))
 
 
@@ -54,34 +53,36 @@ def split_of(component: Column, shares: tuple = SHARES, seed: int = 17) -> Colum
     return F.lit(shares[-1][0]) if out is None else out.otherwise(shares[-1][0])
 
 
+def _vertices(entities: list[str]) -> Column:
+    """The entities of a record as vertices: position of the column, colon, the value's text; nulls tie nothing."""
+    return F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(c).cast("string")) for i, c in enumerate(entities)]))
+
+
 def entity_components(records: DataFrame, entities: list[str]) -> DataFrame:
-    """(entity_kind, entity_no, component) over records that share any entity.
+    """(entity_kind, entity, component) over records that share any entity.
 
-    ``entities`` are BIGINT columns of small kinds count; an entity is the vertex
-    number * len(entities) + position of its column. Null entities tie nothing; numbers beyond
-    2^62 / len(entities) are not supported and taken as null.
+    ``entities`` are columns of any type with a text form: negative numbers, numbers of any length
+    and empty texts are entities like others, only null is none. ``entity_kind`` is the position
+    of the column, ``entity`` the text of the value, ``component`` the smallest vertex.
     """
-    k = len(entities)
-    vertex = [F.when(F.col(c).between(0, (1 << 62) // k - 1), F.col(c) * k + i) for i, c in enumerate(entities)]
-    rows = records.select(F.array_compact(F.array(*vertex)).alias("vs")).where("size(vs) > 0").distinct()
+    rows = records.select(_vertices(entities).alias("vs")).where("size(vs) > 0").distinct()
     links = rows.select(F.explode("vs").alias("a"), F.element_at("vs", 1).alias("b"))
     comp = star_components(links, "a", "b")
-    return comp.select(F.pmod("node", F.lit(k)).alias("entity_kind"), F.expr(f"node div {k}").alias("entity_no"), "component")
+    at = F.instr("node", ":")
+    return comp.select(F.substring("node", F.lit(1), at - 1).cast("int").alias("entity_kind"), F.substring("node", at + 1, F.length("node")).alias("entity"), "component")
 
 
 def assign_splits(records: DataFrame, key: list[str], entities: list[str], shares: tuple = SHARES, seed: int = 17) -> DataFrame:
     """``key``, component and split of every record.
 
     A record's component is that of its first non-null entity (all its entities are in one); a
-    record without entities is on its own, hashed by its key. Repeated records count once, an
-    empty table gives no rows, and shares are reached in expectation over components: a component
-    that holds a third of all rows stays whole.
+    record without entities is on its own, hashed by its key (a null in the key counts as a value).
+    Repeated records count once, an empty table gives no rows, and shares are reached in
+    expectation over components: a component that holds a third of all rows stays whole.
     """
     comp = entity_components(records, entities)
-    k = len(entities)
-    first = F.coalesce(*[F.when(F.col(c).isNotNull(), F.col(c) * k + i) for i, c in enumerate(entities)])
-    one = records.select(*key, first.alias("_v")).distinct()
-    names = comp.select((F.col("entity_no") * k + F.col("entity_kind")).alias("_v"), "component")
-    own = F.concat(F.lit("r"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
-    tied = one.where("_v is not null").join(names, "_v", "left").select(*key, F.concat(F.lit("c"), F.coalesce("component", "_v")).alias("component"))
+    one = records.select(*key, F.get(_vertices(entities), F.lit(0)).alias("_v")).distinct()
+    names = comp.select(F.concat(F.col("entity_kind").cast("string"), F.lit(":"), "entity").alias("_v"), F.col("component").alias("_c"))
+    own = F.concat(F.lit("r"), F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    tied = one.where("_v is not null").join(names, "_v").select(*key, F.concat(F.lit("c"), "_c").alias("component"))
     return tied.unionByName(one.where("_v is null").select(*key, own.alias("component"))).withColumn("split", split_of(F.col("component"), shares, seed))

@@ -64,8 +64,9 @@ def test_components_nulls_self_edges_scopes_and_empty(spark):
 
 def test_texts_of_donors_and_pools(spark):
     rows = [("D-0000-0346", "pool no. 125", 346, 125), ("#9", "P01040/r2", 9, 1040), ("D００００３２４６", "POOL_7 rep 3", 3246, 7), ("unknown", "rep 9", None, None), ("", "pooled", None, None),
-            (None, None, None, None), (" D12 ", "p9-2", 12, 9), ("d7", "mixed pool", 7, None), ("9" * 30, "R2", None, None), ("x", " P3 ", None, 3), ("1", "replicate-4", 1, None)]
-    df = spark.createDataFrame(rows, "d STRING, r STRING, wd BIGINT, wp BIGINT")
+            (None, None, None, None), (" D12 ", "p9-2", 12, 9), ("d7", "mixed pool", 7, None), ("9" * 30, "R2", "9" * 30, None), ("x", " P3 ", None, 3), ("1", "replicate-4", 1, None)]
+    rows = [(d, r, *(None if x is None else str(x) for x in w)) for d, r, *w in rows]
+    df = spark.createDataFrame(rows, "d STRING, r STRING, wd STRING, wp STRING")
     assert df.where(~digits_as_number(F.col("d")).eqNullSafe(F.col("wd"))).count() == 0
     assert df.where(~pool_number(F.col("r")).eqNullSafe(F.col("wp"))).count() == 0
 
@@ -86,6 +87,28 @@ def test_splits_keep_related_records_together(spark):
     assert assign_splits(df.limit(0), ["id"], ["donor", "pool"]).count() == 0
 
 
+def test_no_entity_is_out_of_range(spark):
+    rows = [(1, -5, 7), (2, 9, 7), (3, 8, 7), (4, 1 << 62, None), (5, (1 << 63) - 1, 3), (6, -(1 << 63), 3), (7, 1 << 62, 4), (8, None, -5), (9, -5, None), (10, 5, None)]
+    got = {r.id: r.component for r in assign_splits(spark.createDataFrame(rows, "id BIGINT, donor BIGINT, pool BIGINT"), ["id"], ["donor", "pool"]).collect()}
+    parts = [{1, 2, 3, 9}, {4, 7}, {5, 6}, {8}, {10}]
+    assert len(got) == 10 and len(set(got.values())) == len(parts) and all(len({got[i] for i in p}) == 1 for p in parts)
+
+
+_ENTITY = st.one_of(st.none(), st.integers(-3, 3), st.sampled_from([-(1 << 63), (1 << 63) - 1, 1 << 62, 1 << 61]))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(_ENTITY, _ENTITY), min_size=1, max_size=12))
+def test_no_shared_entity_crosses_splits(spark, pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id BIGINT, donor BIGINT, pool BIGINT")
+    rows = {r.id: r for r in assign_splits(df, ["id"], ["donor", "pool"]).collect()}
+    want = union_find([(f"r{i}", f"{k}{v}") for i, p in enumerate(pairs) for k, v in zip("dp", p) if v is not None] + [(f"r{i}", f"r{i}") for i in range(len(pairs))])
+    assert len(rows) == len(pairs)
+    for i in range(len(pairs)):
+        for j in range(i):
+            assert (rows[i].component == rows[j].component) == (want[f"r{i}"] == want[f"r{j}"])
+
+
 def test_split_shares_are_reached(spark):
     df = spark.range(20000).select(F.col("id"), F.col("id").alias("donor"), F.lit(None).cast("bigint").alias("pool"))
     n = dict(assign_splits(df, ["id"], ["donor", "pool"]).groupBy("split").count().collect())
