@@ -6,7 +6,8 @@ candidate pairs; exact Jaccard and exact distance verify them; connected compone
 Copies equal in every number count as one record until the end. Inside a bucket no pair list is
 built: pivots link what they reach, and only records near the border of a pivot are compared
 further, which finds the same components. A bucket beyond ``BUCKET`` records is cut into chunks and
-every pair of chunks is checked, so no bucket is skipped or capped.
+every pair of chunks is checked, so no bucket is skipped or capped. Degrees count all members within
+the limit, found through the lists and cells of ``vectors.build_index``.
 """
 
 from __future__ import annotations
@@ -14,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fellscape.llm.components import boruvka_components
-from fellscape.llm.vectors import _groups, _matrix, _packed
+from fellscape.llm.vectors import CELL, Index, _groups, _matrix, _packed, build_index, list_probes, meetings
 from fellscape.session import cut, parallelism
 
 TOKENS, WIDTH = 64, 4.0  # tokens a record; width of a token's cell in units of the distance limit
@@ -30,8 +30,8 @@ FIRST_BANDS = 4
 #: Least Jaccard similarity of a link; two records at the limit share 0.67 in expectation.
 JACCARD = 0.4
 BUCKET = 8192
-#: Members of a group that every member is compared with to find the most typical ones.
-WITNESSES = 64
+#: Pairs a task compares at once.
+BLOCK = 1 << 22
 
 
 def token_cells(x: np.ndarray, limit: float, seed: int = 3) -> np.ndarray:
@@ -206,70 +206,113 @@ def similarity_groups(rows: DataFrame, dim: int, limit: float, keep_vectors: boo
     return member.join(found, "rep", "left").select("key", F.coalesce("group", "rep").alias("group"))
 
 
-def describe_groups(groups: DataFrame, rows: DataFrame, dim: int, limit: float, loose: float = 0.5, typical: int = 3, rounds: int = 8) -> DataFrame:
+def describe_groups(groups: DataFrame, rows: DataFrame, dim: int, limit: float, loose: float = 0.5, typical: int = 3) -> DataFrame:
     """(group, cluster, size, typical): clusters with their size and most typical members.
 
-    The degree of a member is the share of the group's witnesses (``WITNESSES`` members with the
-    smallest key hashes; all members of smaller groups) within ``limit``. The medoid has the
-    highest degree. A group whose medoid's degree is below ``loose`` is split: the members within
-    the limit of the medoid leave as a cluster, the others are judged again, for ``rounds`` rounds
-    at most; what is left then stays together. ``cluster`` is the smallest key of the cluster.
+    The degree of a member is the number of the group's members within ``limit``, itself included;
+    copies count each. The medoid has the highest degree, of equal ones the smaller key. A group
+    whose medoid reaches less than the share ``loose`` of it is split: in rounds, every member
+    that no unassigned member within the limit exceeds in (degree, smaller key) becomes a medoid, and
+    the unassigned members within its limit join the highest of the medoids they reach, until all are
+    assigned; so every cluster of a split group lies within the limit of its medoid. ``typical``
+    are the keys of the highest degrees within the cluster, ``cluster`` is its smallest key. An
+    empty table gives no rows.
     """
-    vecs = _packed(rows.select(F.lit("").alias("scope"), "key", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")), dim).drop("scope")
-    open_ = cut(groups.join(vecs, "key").select("group", F.col("group").alias("part"), "key", "vec"))
-    done = None
-    for turn in range(rounds):
-        judged = cut(_degrees(open_, limit))
-        last = turn == rounds - 1
-        best = judged.groupBy("group", "part").agg(F.max_by(F.struct("key", "vec"), F.struct("degree", -F.col("key"))).alias("m"), F.max("degree").alias("top"))
-        placed = judged.join(best, ["group", "part"])
-        whole = F.lit(True) if last else F.col("top") >= loose
-        gap = _distance2("vec", "m.vec")
-        state = cut(placed.select("group", "part", "key", "vec", "degree", F.when(whole, "whole").when(gap <= limit * limit, "near").otherwise("far").alias("state")))
-        ready = state.where("state <> 'far'").select("group", "part", "key", "degree", F.lit(turn).alias("turn"))
-        done = ready if done is None else done.unionByName(ready)
-        open_ = state.where("state = 'far'").select("group", "part", "key", "vec")
-        if open_.isEmpty():
-            break
-    order = Window.partitionBy("group", "part", "turn").orderBy(F.desc("degree"), "key")
-    best = done.withColumn("place", F.row_number().over(order)).where(F.col("place") <= typical)
-    names = best.groupBy("group", "part", "turn").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda s: s["key"]).alias("typical"))
-    size = done.groupBy("group", "part", "turn").agg(F.count("*").alias("size"), F.min("key").alias("cluster"))
-    return size.join(names, ["group", "part", "turn"]).select("group", "cluster", "size", "typical")
-
-
-def _distance2(a: str, b: str) -> Column:
-    """Squared distance of two packed vectors."""
-
-    @F.pandas_udf("double")
-    def gap2(p: pd.Series, q: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.float64).reshape(len(s), -1) for s in (p, q))
-        return pd.Series(((x - y) ** 2).sum(1))
-
-    return gap2(F.col(a), F.col(b))
-
-
-def _degrees(members: DataFrame, limit: float) -> DataFrame:
-    """Members with their degree; groups are cut into chunks that each meet the group's witnesses."""
-    by = ["group", "part", "chunk"]
-    w = Window.partitionBy("group", "part").orderBy(F.xxhash64("key"), "key")
-    seen = members.withColumn("place", F.row_number().over(w)).where(F.col("place") <= WITNESSES)
-    chunks = members.groupBy("group", "part").agg(F.ceil(F.count("*") / BUCKET).cast("bigint").alias("chunks"))
-    split = members.join(chunks, ["group", "part"]).select("group", "part", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk"), "key", "vec", F.lit(1).alias("role"))
-    spread = seen.join(chunks, ["group", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    rows = spread.select("group", "part", "chunk", "key", "vec", F.lit(0).alias("role")).unionByName(split)
+    vec = F.transform("vec", lambda x: x + F.lit(0.0))
+    named = rows.select("key", vec.alias("vec")).join(groups.select("key", "group"), "key")
+    named = named.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("vec")))
+    by = ["group", "h1", "h2"]
+    first = named.groupBy(*by).agg(F.min("key").alias("rep"), F.count("*").cast("double").alias("weight"))
+    member = cut(named.select("key", *by).join(first, by).select("key", "group", "rep", "weight"))
+    reps = cut(member.where("key = rep").select("key", "group", "weight"))
+    packed = cut(_packed(named.join(reps.select("key"), "key", "left_semi").select(F.lit("").alias("scope"), "key", "vec"), dim))
+    degrees = _degrees(build_index(packed), reps.select("key", F.col("group").alias("part"), "weight"), limit)
+    judged = cut(reps.join(degrees, "key"))
+    top = F.max(F.struct("degree", (-F.col("key")).alias("k")))
+    medoids = judged.groupBy("group").agg(top.alias("m"), F.sum("weight").alias("size")).select("group", (-F.col("m.k")).alias("center"), (F.col("m.degree") < loose * F.col("size")).alias("is_loose"))
+    judged = cut(judged.join(medoids, "group"))
+    done = judged.where("not is_loose").select("key", "group", "center", "degree")
+    split = judged.where("is_loose")
+    if not split.isEmpty():
+        index = build_index(cut(packed.join(split.select("key"), "key", "left_semi")))
+        centers = _stars(index, split.select("key", F.col("group").alias("part"), F.col("degree").alias("value")), limit)
+        inner = _degrees(index, split.select("key", "weight").join(centers.withColumnRenamed("center", "part"), "key"), limit)
+        done = done.unionByName(split.select("key", "group").join(centers, "key").join(inner, "key").select("key", "group", "center", "degree"))
+    everyone = member.select("key", "rep").join(done.withColumnRenamed("key", "rep"), "rep")
+    order = Window.partitionBy("group", "center").orderBy(F.desc("degree"), "key")
+    best = everyone.withColumn("place", F.row_number().over(order)).where(F.col("place") <= typical)
+    names = best.groupBy("group", "center").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda s: s["key"]).alias("typical"))
+    size = everyone.groupBy("group", "center").agg(F.count("*").alias("size"), F.min("key").alias("cluster"))
+    return size.join(names, ["group", "center"]).select("group", "cluster", "size", "typical")
+
+
+def _reach(index: Index, limit: float) -> DataFrame:
+    """(list, cell, chunk, key, vec): every chunk that the limit reaches from a vector, its own included."""
+    books = index.books
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, by):
-            x, keys, role = _matrix(t.column("vec")), t.column("key").to_numpy(), t.column("role").to_numpy()
-            at = int(np.searchsorted(role, 1))
-            n = len(keys) - at
-            if n == 0:
-                continue
-            d2 = np.maximum((x[at:] ** 2).sum(1)[:, None] + (x[:at] ** 2).sum(1)[None] - 2 * x[at:] @ x[:at].T, 0)
-            degree = (d2 <= limit * limit + 1e-9).mean(1)
-            t = t.slice(at).combine_chunks()
-            yield pa.Table.from_arrays([t.column("group"), t.column("part"), t.column("key"), t.column("vec"), pa.chunked_array([pa.array(degree)])], names=["group", "part", "key", "vec", "degree"]).to_batches()[0]
+        for t in _groups(batches, CELL):
+            keys = t.column("key").to_numpy()
+            yield from list_probes(t, _matrix(t.column("vec")), keys, np.full(len(keys), limit * limit), books)
+
+    parts = 2 * parallelism(index.placed.sparkSession)
+    schema = "scope STRING, key BIGINT, list INT, own_cell INT, own_chunk INT, vec BINARY, radius2 DOUBLE"
+    probes = index.placed.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(run, schema)
+    return index.targets(probes).select(*CELL, "key", "vec").unionByName(index.placed.select(*CELL, "key", "vec"))
+
+
+def _within(bases: DataFrame, queries: DataFrame, limit: float, best: bool) -> DataFrame:
+    """What the bases of the same ``part`` within the limit of a query hold, the query itself included.
 
-    parts = 2 * parallelism(members.sparkSession)
-    return rows.repartition(parts, *by).sortWithinPartitions(*by, "role").mapInArrow(run, "`group` BIGINT, part BIGINT, key BIGINT, vec BINARY, degree DOUBLE")
+    Both sides have the columns of a chunk, key, vec and part, the bases also ``value``. The result is
+    (key, value): the sum of the values; or, with ``best``, (key, value, best): the greatest value and the
+    smallest key that has it. No pair leaves a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, q in meetings(batches, CELL):
+            keys, value, part = (t.column(c).to_numpy() for c in ("key", "value", "part"))
+            order = np.lexsort((keys, -value))
+            x, keys, value, part = _matrix(t.column("vec"))[order], keys[order], value[order], part[order]
+            y, ykeys, ypart = _matrix(q.column("vec")), q.column("key").to_numpy(), q.column("part").to_numpy()
+            half = (x * x).sum(1)
+            step = max(1, BLOCK // len(x))
+            for s in range(0, len(y), step):
+                z = y[s : s + step]
+                hit = ((z * z).sum(1)[:, None] + half[None] - 2.0 * (z @ x.T) <= limit * limit + 1e-9) & (ypart[s : s + step, None] == part[None])
+                some = hit.any(1)
+                at = hit.argmax(1)[some]  # the first in the order
+                amount = value[at] if best else (hit @ value)[some]
+                yield pa.RecordBatch.from_arrays([pa.array(ykeys[s : s + step][some]), pa.array(amount), pa.array(keys[at])], names=["key", "value", "best"])
+
+    rows = bases.select(*CELL, "key", "vec", "part", "value", F.lit(0).alias("role")).unionByName(queries.select(*CELL, "key", "vec", "part", F.lit(0.0).alias("value"), F.lit(1).alias("role")))
+    parts = 2 * parallelism(rows.sparkSession)
+    met = rows.repartition(parts, *CELL).sortWithinPartitions(*CELL, "role").mapInArrow(run, "key BIGINT, value DOUBLE, best BIGINT")
+    if not best:
+        return met.groupBy("key").agg(F.sum("value").alias("value"))
+    first = met.groupBy("key").agg(F.max(F.struct("value", (-F.col("best")).alias("k"))).alias("m"))
+    return first.select("key", F.col("m.value").alias("value"), (-F.col("m.k")).alias("best"))
+
+
+def _degrees(index: Index | None, state: DataFrame, limit: float) -> DataFrame:
+    """(key, degree): weights of the members of the same part within the limit; ``state`` is key, part, weight."""
+    if index is None:
+        return state.select("key", F.col("weight").alias("degree"))
+    bases = index.placed.join(state.withColumnRenamed("weight", "value"), "key")
+    queries = _reach(index, limit).join(state.select("key", "part"), "key")
+    return _within(bases, queries, limit, False).withColumnRenamed("value", "degree")
+
+
+def _stars(index: Index, state: DataFrame, limit: float) -> DataFrame:
+    """(key, center): stars around the members that no unassigned one within the limit exceeds; ``state`` is key, part, value."""
+    placed, reached = cut(index.placed.select(*CELL, "key", "vec")), cut(_reach(index, limit))
+    left, done = cut(state), None
+    while True:
+        queries = reached.join(left.select("key", "part"), "key")
+        top = cut(_within(placed.join(left, "key"), queries, limit, True))
+        heads = left.join(top.where("key = best").select("key"), "key", "left_semi")
+        near = cut(_within(placed.join(heads, "key"), queries, limit, True).select("key", F.col("best").alias("center")))
+        done = near if done is None else done.unionByName(near)
+        left = cut(left.join(near.select("key"), "key", "left_anti"))
+        if left.isEmpty():
+            return done

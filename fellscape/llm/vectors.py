@@ -1,18 +1,21 @@
 """Most similar vectors for every vector: adaptive dimension scan inside probed lists (problem 2).
 
 Index: k-means lists over a bounded sample (``SAMPLE_PER_LIST`` vectors per list, those with the
-smallest key hashes); every vector is put into the list of its nearest centroid. Scan: vectors are
+smallest key hashes); every vector is put into the list of its nearest centroid. A list beyond
+``CHUNK`` vectors is cut again by centroids of its own, its cells, so that the first codebook stays
+small (``MAX_LISTS``) while cells keep their size. Scan: vectors are
 rotated by a random orthogonal matrix and compared in column blocks; after each block a candidate
 is abandoned if its partial distance proves it too far or if, by the hypothesis test on the scaled
 partial distance (error factor ``EPSILON``), it is too far with near certainty. The first pass
-scans a vector's own list and gives its k-th distance; the second probes only the lists that the
-ball of that radius can reach across the bisecting plane of the two centroids. Survivors get their
+scans a vector's own cell and gives its k-th distance; the second probes only the lists, and in
+them the cells, that the ball of that radius can reach across the bisecting plane of two centroids. Survivors get their
 exact distance from the unrotated values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,9 +25,9 @@ from pyspark.sql import functions as F
 
 from fellscape.session import cut, parallelism
 
-#: Vectors a list should hold, lists at most, sampled vectors per list when centroids are fitted.
+#: Vectors a list or cell should hold, centroids of a codebook at most, sampled vectors per centroid.
 LIST_SIZE, MAX_LISTS, SAMPLE_PER_LIST = 512, 4096, 16
-#: A list beyond this many vectors is scanned in several tasks.
+#: A list beyond this many vectors is cut into cells; a cell beyond it is scanned in several tasks.
 CHUNK = 4096
 #: Error factor of the hypothesis test; 2.1 loses about one neighbour in ten thousand.
 EPSILON = 2.1
@@ -157,6 +160,30 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def meetings(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, pa.RecordBatch]]:
+    """(bases, queries) of every group of a stream sorted by group and ``role``.
+
+    The bases (role 0) of a group are held, they are no more than a chunk; its queries (role 1), of which
+    there may be any number, come a batch at a time.
+    """
+    group, bases = None, []
+    for b in batches:
+        cols = [b.column(b.schema.get_field_index(c)) for c in [*by, "role"]]
+        values = [c.to_numpy(zero_copy_only=False) for c in cols]
+        change = np.zeros(b.num_rows, bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(change), b.num_rows] if b.num_rows else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            *here, role = (v[lo] for v in values)
+            if here != group:
+                group, bases = here, []
+            if role == 0:
+                bases.append(b.slice(lo, hi - lo))
+            elif bases:
+                yield pa.Table.from_batches(bases), b.slice(lo, hi - lo)
+
+
 def _level_lists(lists: int) -> list[int]:
     return [n for n in (4**e for e in range(8)) if n <= lists] or [1]
 
@@ -177,37 +204,153 @@ def nearest_vectors(rows: DataFrame, dim: int, k: int = 5, max_distance: float |
     rows = rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("vec")))
     place = F.row_number().over(Window.partitionBy("scope", "h1", "h2").orderBy("key"))
     ranked = rows.withColumn("place", place).where(F.col("place") <= k + 1)
-    kept = cut(_packed(ranked, dim))
-    sizes = kept.groupBy("scope").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    if not largest:
+    index = build_index(cut(_packed(ranked, dim)), list_size)
+    if index is None:
         return spark.createDataFrame([], "scope STRING, key BIGINT, neighbour BIGINT, d2 DOUBLE")
-    lists = int(min(MAX_LISTS, max(1, largest // list_size)))
-    books = _codebooks(kept, lists, list_size)
-    placed = cut(_assign(kept, sizes, books, list_size))
-    crowded = placed.groupBy("scope", "list").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    crowded = crowded.select("scope", "list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    placed = placed.join(crowded, ["scope", "list"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    by = ["scope", "list", "chunk"]
-    parts = 4 * parallelism(spark)
     limit2 = float("inf") if max_distance is None else float(max_distance) ** 2
+    parts = 4 * parallelism(spark)
 
-    home = cut(placed.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(_home_scan(by, k, limit2, books), _HOME))
-    probes = home.where("probe").select("scope", "list", "chunk", "key", "vec", "radius2", F.lit(1).alias("role"))
-    everyone = crowded.select("scope", "list", "chunks")
-    probes = probes.join(everyone, ["scope", "list"], "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-    probes = probes.where("chunk is null or chunk <> to").select("scope", "list", F.col("to").alias("chunk"), "key", "vec", "radius2", "role")
-    bases = placed.select(*by, "key", "vec", F.lit(0.0).alias("radius2"), F.lit(0).alias("role"))
-    met = bases.unionByName(probes).repartition(parts, *by).sortWithinPartitions(*by, "role").mapInArrow(_probe_scan(by, k), _PAIRS)
+    home = cut(index.placed.repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(_home_scan(k, limit2, index.books), _HOME))
+    probes = index.targets(home.where("probe").select("scope", "list", "own_cell", "own_chunk", "key", "vec", "radius2"))
+    bases = index.placed.select(*CELL, "key", "vec", F.lit(0.0).alias("radius2"), F.lit(0).alias("role"))
+    met = bases.unionByName(probes.withColumn("role", F.lit(1))).repartition(parts, *CELL).sortWithinPartitions(*CELL, "role").mapInArrow(_probe_scan(k), _PAIRS)
     best = Window.partitionBy("scope", "key").orderBy("d2", "neighbour")
     near = home.where("not probe").select("scope", "key", "neighbour", "d2").unionByName(met)
     near = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
     return near.unionByName(_further_copies(rows, k))
 
 
+CELL = ["scope", "list", "cell", "chunk"]
 _PAIRS = "scope STRING, key BIGINT, neighbour BIGINT, d2 DOUBLE"
-_HOME = _PAIRS + ", probe BOOLEAN, list INT, chunk INT, vec BINARY, radius2 DOUBLE"
+_PROBE = "list INT, own_cell INT, own_chunk INT, vec BINARY, radius2 DOUBLE"
+_HOME = _PAIRS + ", probe BOOLEAN, " + _PROBE
+
+
+@dataclass(frozen=True)
+class Index:
+    """Vectors in lists, cells and chunks.
+
+    ``placed``: scope, key, vec, level, list, cell, chunk, chunks, and ``alone``, whether the list has
+    no other chunk; ``books``: centroids of the lists
+    by level; ``cells``: (scope, list, book, slices), the centroids of the cells of every list that
+    is cut, or None; ``crowded``: (scope, list, cell, chunks) of the cells that have several chunks.
+    """
+
+    placed: DataFrame
+    books: dict[int, np.ndarray]
+    cells: DataFrame | None
+    crowded: DataFrame
+
+    def targets(self, probes: DataFrame) -> DataFrame:
+        """Probes of lists (scope, list, own_cell, own_chunk, key, vec, radius2) as probes of chunks.
+
+        A vector that comes from the list itself has its own cell and chunk, which is left out.
+        """
+        whole = probes.withColumn("cell", F.lit(0))
+        if self.cells is not None:
+            lists = self.cells.select("scope", "list")
+            inside = _with_books(probes.join(F.broadcast(lists), ["scope", "list"], "left_semi"), self.cells, _cell_probes, f"scope STRING, key BIGINT, {_PROBE}, cell INT")
+            whole = whole.join(F.broadcast(lists), ["scope", "list"], "left_anti").unionByName(inside)
+        met = whole.join(self.crowded, ["scope", "list", "cell"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+        other = F.col("own_cell").isNull() | (F.col("own_cell") != F.col("cell")) | (F.col("own_chunk") != F.col("chunk"))
+        return met.where(other).select(*CELL, "key", "vec", "radius2")
+
+
+def build_index(kept: DataFrame, list_size: int = LIST_SIZE) -> Index | None:
+    """The index of packed vectors (scope, key, vec); None if there are none."""
+    sizes = kept.groupBy("scope").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0]
+    if not largest:
+        return None
+    books = _codebooks(kept, int(min(MAX_LISTS, max(1, largest // list_size))))
+    listed = cut(_assign(kept, sizes, books, list_size))
+    full = listed.groupBy("scope", "list").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    cells = cut(_cell_books(listed, full, list_size))
+    if cells.isEmpty():
+        cells, celled = None, listed.withColumn("cell", F.lit(0))
+    else:
+        lists = F.broadcast(cells.select("scope", "list"))  # lists beyond CHUNK vectors, at most MAX_LISTS a scope
+        schema = "scope STRING, key BIGINT, vec BINARY, level INT, list INT, cell INT"
+        celled = _with_books(listed.join(lists, ["scope", "list"], "left_semi"), cells, _nearest_cell, schema)
+        celled = cut(celled.unionByName(listed.join(lists, ["scope", "list"], "left_anti").withColumn("cell", F.lit(0))))
+    crowded = celled.groupBy("scope", "list", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    crowded = crowded.select("scope", "list", "cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    placed = celled.join(crowded, ["scope", "list", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    alone = F.col("chunks") == 1
+    if cells is not None:
+        placed = placed.join(lists.withColumn("is_cut", F.lit(True)), ["scope", "list"], "left")
+        alone = alone & F.col("is_cut").isNull()
+    return Index(placed.withColumn("alone", alone).drop("is_cut"), books, cells, crowded)
+
+
+def _cell_books(listed: DataFrame, full: DataFrame, list_size: int) -> DataFrame:
+    """(scope, list, book, slices): centroids of the cells of every list in ``full``, from a sample of the list."""
+    wanted = F.least(F.lit(MAX_LISTS), F.greatest(F.lit(2), F.floor(F.col("n") / list_size))).cast("int")
+    want = full.select("scope", "list", "n", wanted.alias("want"), F.ceil(F.col("n") / (16 * CHUNK)).cast("int").alias("slices"))
+    share = SAMPLE_PER_LIST * F.col("want") / F.col("n")
+    picked = listed.select("scope", "list", "key", "vec").join(F.broadcast(want), ["scope", "list"]).where(F.pmod(F.xxhash64("key", "scope"), F.lit(1 << 30)) < share * (1 << 30))
+    samples = picked.groupBy("scope", "list", "want", "slices").agg(F.sort_array(F.collect_list("vec")).alias("vecs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            books = [lloyd(np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1), n).tobytes() for n, v in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(books, pa.binary()), b.column(3)], names=["scope", "list", "book", "slices"])
+
+    return samples.mapInArrow(run, "scope STRING, list INT, book BINARY, slices INT")
+
+
+def _with_books(rows: DataFrame, cells: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel`` over the rows of every list together with the centroids of its cells.
+
+    The rows of a list are cut into slices, each of which begins with the list's book.
+    """
+    sliced = rows.join(F.broadcast(cells.select("scope", "list", "slices")), ["scope", "list"])
+    sliced = sliced.withColumn("_slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")).drop("slices").withColumn("_role", F.lit(1))
+    heads = cells.select("scope", "list", F.col("book").alias("vec"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("_slice"), F.lit(0).alias("_role"))
+    by = ["scope", "list", "_slice"]
+    met = sliced.unionByName(heads, True).repartition(*by).sortWithinPartitions(*by, "_role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, by):
+            vecs = t.column("vec")
+            if t.num_rows > 1:
+                rows = t.slice(1)
+                x = _matrix(rows.column("vec"))
+                yield from kernel(rows, x, np.frombuffer(vecs[0].as_py(), np.float64).reshape(-1, x.shape[1]))
+
+    return met.mapInArrow(run, schema)
+
+
+def _nearest_cell(rows: pa.Table, x: np.ndarray, book: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cell = pa.array(nearest_centroid(x, book).astype(np.int32))
+    yield from rows.select(["scope", "key", "vec", "level", "list"]).append_column("cell", cell).to_batches()
+
+
+def _cell_probes(rows: pa.Table, x: np.ndarray, book: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for every cell that the radius reaches from the nearest cell, that one included."""
+    radius = np.sqrt(rows.column("radius2").to_numpy())
+    step = max(1, (4 << 20) // len(book))
+    for s in range(0, len(x), step):
+        q, to = np.nonzero(reached(x[s : s + step], radius[s : s + step], book))
+        part = rows.slice(s, step).take(pa.array(q)).select(["scope", "key", "list", "own_cell", "own_chunk", "vec", "radius2"])
+        yield from part.append_column("cell", pa.array(to.astype(np.int32))).combine_chunks().to_batches()
+
+
+def reached(x: np.ndarray, radius: np.ndarray, book: np.ndarray, own: int | None = None) -> np.ndarray:
+    """(vectors, centroids): whether the ball of a vector reaches a centroid's side of the bisecting plane.
+
+    Planes lie between that centroid and the vector's own, or its nearest one, which counts as reached.
+    """
+    half = (book * book).sum(1)
+    rel = half - 2.0 * (x @ book.T)
+    near = np.full(len(x), own) if own is not None else rel.argmin(1)
+    apart = np.sqrt(np.maximum(0.0, half[near][:, None] + half[None] - 2.0 * (book[near] @ book.T)))
+    apart[apart == 0] = np.inf
+    margin = (rel - np.take_along_axis(rel, near[:, None], 1)) / (2.0 * apart)
+    hit = margin <= radius[:, None] + 1e-9
+    hit[np.arange(len(x)), near] = True
+    return hit
 
 
 def _further_copies(rows: DataFrame, k: int) -> DataFrame:
@@ -232,7 +375,7 @@ def _packed(rows: DataFrame, dim: int) -> DataFrame:
     return rows.select("scope", "key", "vec").mapInArrow(run, "scope STRING, key BIGINT, vec BINARY")
 
 
-def _codebooks(kept: DataFrame, lists: int, list_size: int) -> dict[int, np.ndarray]:
+def _codebooks(kept: DataFrame, lists: int) -> dict[int, np.ndarray]:
     """Centroids for 1, 4, 16, ... and ``lists`` lists, from a bounded sample of all scopes."""
     levels = sorted({*_level_lists(lists), lists})
     if lists == 1:
@@ -264,14 +407,13 @@ def _assign(kept: DataFrame, sizes: DataFrame, books: dict[int, np.ndarray], lis
     return rows.select("scope", "key", "vec", "level").mapInArrow(run, "scope STRING, key BIGINT, vec BINARY, level INT, list INT")
 
 
-def _home_scan(by: list[str], k: int, limit2: float, books: dict[int, np.ndarray]) -> Callable:
-    """Own list: pairs, and the probes of other lists (and other chunks) that the radius reaches."""
+def _home_scan(k: int, limit2: float, books: dict[int, np.ndarray]) -> Callable:
+    """Own cell: pairs, and the probes of other lists (of the own one if it has more) that the radius reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, by):
+        for t in _groups(batches, CELL):
             x, keys = _matrix(t.column("vec")), t.column("key").to_numpy()
-            scope, own, chunk = (t.column(c)[0].as_py() for c in by)
-            level, chunks = t.column("level")[0].as_py(), t.column("chunks")[0].as_py()
+            scope = t.column("scope")[0].as_py()
             n = len(keys)
             i, j, d2 = scan(x, keys, np.full(n, limit2), x, keys, k)
             count = np.bincount(i, minlength=n)
@@ -279,62 +421,48 @@ def _home_scan(by: list[str], k: int, limit2: float, books: dict[int, np.ndarray
             last = np.cumsum(count) - 1
             full = count >= k
             radius2[full] = np.minimum(limit2, d2[last[full]])
-            yield _rows(scope, keys[i], keys[j], d2)
-            if level > 1:
-                yield from _probes(scope, own, keys, x, radius2, books[level])
-            if chunks > 1:
-                yield _probe_rows(scope, np.full(n, own), keys, x, radius2, chunk)
+            nothing = [pa.nulls(len(i), f) for f in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([scope] * len(i), pa.string()), pa.array(keys[i], pa.int64()), pa.array(keys[j], pa.int64()), pa.array(d2, pa.float64()), pa.array(np.zeros(len(i), bool)), *nothing], names=_NAMES)
+            for b in list_probes(t, x, keys, radius2, books):
+                m = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(np.ones(m, bool)), *b.columns[2:]], names=_NAMES)
 
     return run
 
 
-def _probes(scope: str, own: int, keys: np.ndarray, x: np.ndarray, radius2: np.ndarray, book: np.ndarray) -> Iterator[pa.RecordBatch]:
-    apart = np.sqrt(((book - book[own]) ** 2).sum(1))
-    apart[apart == 0] = np.inf
-    half = (book * book).sum(1)
+def list_probes(t: pa.Table, x: np.ndarray, keys: np.ndarray, radius2: np.ndarray, books: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(scope, key, list, own_cell, own_chunk, vec, radius2): lists that the vectors of a chunk reach.
+
+    The own list, with the own cell and chunk, is among them unless it has no other chunk.
+    """
+    scope, own, cell, chunk = (t.column(c)[0].as_py() for c in CELL)
+    level = t.column("level")[0].as_py()
+    book = books[level] if level > 1 else np.zeros((1, x.shape[1]))  # one list: number 0
     step = max(1, (4 << 20) // len(book))
     for s in range(0, len(keys), step):
-        rel = half - 2.0 * (x[s : s + step] @ book.T)
-        margin = (rel - rel[:, own : own + 1]) / (2.0 * apart)
-        near = margin <= np.sqrt(radius2[s : s + step])[:, None] + 1e-9
-        near[:, own] = False  # also where the radius is infinite
-        q, to = np.nonzero(near)
-        if len(q):
-            yield _probe_rows(scope, to, keys[s + q], x[s + q], radius2[s + q], None)
-
-
-def _rows(scope: str, keys: np.ndarray, neighbours: np.ndarray, d2: np.ndarray) -> pa.RecordBatch:
-    n = len(keys)
-    nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.float64())]
-    return pa.RecordBatch.from_arrays([pa.array([scope] * n, pa.string()), pa.array(keys, pa.int64()), pa.array(neighbours, pa.int64()), pa.array(d2, pa.float64()), pa.array(np.zeros(n, bool)), *nothing], names=_NAMES)
+        q, to = np.nonzero(reached(x[s : s + step], np.sqrt(radius2[s : s + step]), book, own))
+        if t.column("alone")[0].as_py():
+            q, to = q[to != own], to[to != own]
+        n, mine = len(q), to == own
+        home = [pa.array(np.full(n, v, np.int32), mask=~mine) for v in (cell, chunk)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([scope] * n, pa.string()), pa.array(keys[s + q], pa.int64()), pa.array(to.astype(np.int32)), *home, pa.array([v.tobytes() for v in x[s + q]], pa.binary()), pa.array(radius2[s + q], pa.float64())],
+            names=["scope", "key", "list", "own_cell", "own_chunk", "vec", "radius2"],
+        )
 
 
-def _probe_rows(scope: str, lists: np.ndarray, keys: np.ndarray, x: np.ndarray, radius2: np.ndarray, chunk: int | None) -> pa.RecordBatch:
-    n = len(keys)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([scope] * n, pa.string()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(np.ones(n, bool)), pa.array(lists.astype(np.int32)),
-         pa.nulls(n, pa.int32()) if chunk is None else pa.array(np.full(n, chunk, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(radius2, pa.float64())],
-        names=_NAMES,
-    )
+_NAMES = ["scope", "key", "neighbour", "d2", "probe", "list", "own_cell", "own_chunk", "vec", "radius2"]
 
 
-_NAMES = ["scope", "key", "neighbour", "d2", "probe", "list", "chunk", "vec", "radius2"]
-
-
-def _probe_scan(by: list[str], k: int) -> Callable:
-    """Vectors of a list against the vectors of other lists that probe it."""
+def _probe_scan(k: int) -> Callable:
+    """Vectors of a chunk against the vectors of other chunks that probe it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, by):
-            role = t.column("role").to_numpy()
-            at = int(np.searchsorted(role, 1))
-            if at in (0, len(role)):
-                continue
-            x, keys, r2 = _matrix(t.column("vec")), t.column("key").to_numpy(), t.column("radius2").to_numpy()
-            i, j, d2 = scan(x[at:], keys[at:], r2[at:], x[:at], keys[:at], k)
+        for t, q in meetings(batches, CELL):
+            x, keys, qkeys = _matrix(t.column("vec")), t.column("key").to_numpy(), q.column("key").to_numpy()
+            i, j, d2 = scan(_matrix(q.column("vec")), qkeys, q.column("radius2").to_numpy(), x, keys, k)
             if len(i):
-                n = len(i)
-                yield pa.RecordBatch.from_arrays([pa.array([t.column("scope")[0].as_py()] * n, pa.string()), pa.array(keys[at:][i]), pa.array(keys[:at][j]), pa.array(d2)], names=["scope", "key", "neighbour", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array([t.column("scope")[0].as_py()] * len(i), pa.string()), pa.array(qkeys[i]), pa.array(keys[j]), pa.array(d2)], names=["scope", "key", "neighbour", "d2"])
 
     return run
 

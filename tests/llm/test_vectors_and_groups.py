@@ -54,6 +54,22 @@ def test_crowded_list_is_scanned_in_chunks(spark, monkeypatch):
     assert {(r.key, r.neighbour) for r in nearest_vectors(frame(spark, x, keys), 3, 5, 0.5).collect()} == brute(x, keys, 5, 0.5)
 
 
+@pytest.mark.parametrize("limit", [0.5, None])
+def test_crowded_lists_are_cut_into_cells(spark, monkeypatch, limit):
+    import fellscape.llm.vectors as v
+
+    monkeypatch.setattr(v, "CHUNK", 60)
+    monkeypatch.setattr(v, "MAX_LISTS", 6)
+    rng = np.random.default_rng(4)
+    x, keys = np.concatenate([rng.normal(size=(900, 3)), rng.normal(size=(90, 3)) * 0.01]), np.arange(990)
+    packed = v._packed(frame(spark, x, keys), 3)
+    index = v.build_index(packed, 40)
+    assert index.cells.count() > 3 and index.placed.count() == 990
+    got = [(r.key, r.neighbour) for r in nearest_vectors(frame(spark, x, keys), 3, 5, limit, list_size=40).collect()]
+    want = brute(x, keys, 5, limit or 1e9)
+    assert len(got) == len(set(got)) == len(want) and len(set(got) & want) / len(want) > 0.99
+
+
 def test_scan_abandons_but_does_not_lose():
     rng = np.random.default_rng(0)
     x, keys = rng.normal(size=(800, 24)), np.arange(800)
@@ -105,12 +121,43 @@ def test_big_buckets_are_cut_into_pairs_of_chunks(spark, monkeypatch):
     assert got == {0, 90}
 
 
-def test_a_loose_group_is_split_around_its_medoid(spark):
-    x = np.array([[i * 1.5] + [0.0] * 23 for i in range(30)])  # a chain
-    rows = frame(spark, x, np.arange(30)).drop("scope")
-    groups = spark.createDataFrame([(i, 0) for i in range(30)], "key BIGINT, `group` BIGINT")
-    about = describe_groups(groups, rows, 24, 2.0, rounds=40).collect()
-    assert len(about) > 5 and sum(r["size"] for r in about) == 30
+def stars(x, keys, limit, loose=0.5):
+    """Clusters of one group by brute force: (medoid, smallest key, size, three typical keys)."""
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= limit * limit + 1e-9
+    degree = near.sum(1)
+    center = np.full(len(x), keys[np.lexsort((keys, -degree))[0]])
+    if degree.max() < loose * len(x):
+        left = np.ones(len(x), bool)
+        while left.any():
+            heads = [i for i in np.flatnonzero(left) if all((degree[i], -keys[i]) >= (degree[j], -keys[j]) for j in np.flatnonzero(near[i] & left))]
+            for i in np.flatnonzero(left):
+                mine = [h for h in heads if near[i, h]]
+                if mine:
+                    center[i] = keys[max(mine, key=lambda h: (degree[h], -keys[h]))]
+                    left[i] = False
+    out = []
+    for c in np.unique(center):
+        m = np.flatnonzero(center == c)
+        d = near[np.ix_(m, m)].sum(1)
+        out.append((int(min(keys[m])), len(m), [int(k) for k in keys[m][np.lexsort((keys[m], -d))[:3]]]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["chain", "cloud", "dense", "copies"])
+def test_loose_groups_split_around_their_medoids(spark, monkeypatch, kind):
+    import fellscape.llm.vectors as v
+
+    monkeypatch.setattr(v, "CHUNK", 50)
+    monkeypatch.setattr(v, "LIST_SIZE", 40)
+    rng = np.random.default_rng(6)
+    x = {
+        "chain": np.array([[i * 1.5] + [0.0] * 23 for i in range(120)]), "cloud": np.pad(rng.normal(size=(400, 3)) * 2.5, ((0, 0), (0, 21))),
+        "dense": np.pad(rng.normal(size=(300, 3)) * 0.6, ((0, 0), (0, 21))), "copies": np.pad(np.concatenate([rng.normal(size=(60, 2)) * 2.5, np.full((40, 2), 3.0)]), ((0, 0), (0, 22))),
+    }[kind].round(6)
+    keys = rng.permutation(1000)[: len(x)]
+    groups = spark.createDataFrame([(int(k), int(keys.min())) for k in keys], "key BIGINT, `group` BIGINT")
+    got = describe_groups(groups, frame(spark, x, keys).drop("scope"), 24, 2.0).collect()
+    assert sorted((r["cluster"], r["size"], list(r["typical"])) for r in got) == stars(x, keys, 2.0)
 
 
 def test_min_hash_agrees_with_jaccard():
