@@ -1,18 +1,23 @@
-"""Fixed points on edge tables: one equi-join and one aggregation a step, lineage cut as it grows.
+"""Fixed points on edge tables, many graphs (fits) together.
 
-All operators take ``by`` columns, so that many graphs (fits) are iterated together. ``steps``
-steps are made; with ``tolerance`` the loop ends earlier, on one aggregated number every
-``CHECK`` steps. Node tables have one row per node, edge tables src, dst and a weight or cost.
+All operators take ``by`` columns. Graphs that fit a task are iterated in numpy, larger ones by one
+equi-join and one aggregation a step with the lineage cut as it grows (see ``pergraph``). ``steps``
+steps are made; with ``tolerance`` a graph ends earlier, when no value moves by more (a large graph
+looks every ``CHECK`` steps). Node tables have one row per node, edge tables src, dst and a weight
+or cost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fellscape.functions.scalar import clip
+from fellscape.operators.pergraph import coded, solve
 from fellscape.session import cut
 
 #: Steps that are planned into one job before the lineage is cut.
@@ -49,74 +54,131 @@ def softmax_edges(edges: DataFrame, score: str, by: Sequence[str] = (), bound: f
     return row_normalized(edges.join(top, [*by, "src"]).withColumn("_w", F.exp(clip(F.col(score) - F.col("_m"), -bound, bound))), "_w", by, name).drop("_w", "_m")
 
 
+def _settle(x: np.ndarray, step: Callable[[np.ndarray], np.ndarray], steps: int, tolerance: float | None) -> np.ndarray:
+    """``x`` after ``steps`` steps, or earlier when nothing moved by more than ``tolerance``."""
+    for _ in range(steps):
+        new = step(x)
+        still = tolerance is not None and np.abs(new - x).max(initial=0.0) <= tolerance
+        x = new
+        if still:
+            break
+    return x
+
+
 def committor(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), steps: int = 256, tolerance: float | None = 1e-9) -> DataFrame:
     """(by, idx, q): probability of reaching a target before a source.
 
     ``nodes``: idx, role ("source", "target" or null); ``edges``: src, dst, weight. Jacobi from
     0.5 with sources at 0 and targets at 1; a node without weighted out-edges keeps its start.
     """
-    by = list(by)
-    p = cut(row_normalized(edges, "weight", by).select(*by, "src", "dst", "p"))
-    fixed = F.when(F.col("role") == "source", 0.0).when(F.col("role") == "target", 1.0)
-    start = nodes.select(*by, "idx", "role", F.coalesce(fixed, F.lit(0.5)).alias("q"))
+    p = row_normalized(edges, "weight", by).select(*by, "src", "dst", "p")
 
-    def step(s: DataFrame) -> DataFrame:
-        mean = p.join(s.select(*by, F.col("idx").alias("dst"), "q"), [*by, "dst"]).groupBy(*by, F.col("src").alias("idx")).agg(F.sum(F.col("p") * F.col("q")).alias("m"), F.sum("p").alias("w"))
-        met = s.join(mean, [*by, "idx"], "left")
-        moved = F.when(F.col("role").isNotNull() | F.col("w").isNull() | (F.col("w") <= 0), F.col("q")).otherwise(F.col("m"))
-        return met.select(*by, "idx", "role", moved.alias("q"))
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n = n.sort_values("idx")
+        ids, u, v, known = coded(n, e)
+        w = e["p"].to_numpy(float)[known]
+        role = n["role"].to_numpy(object)
+        moves = (np.bincount(u, w, len(ids)) > 0) & pd.isna(role)
+        start = np.where(role == "source", 0.0, np.where(role == "target", 1.0, 0.5)).astype(float)
+        q = _settle(start, lambda x: np.where(moves, np.bincount(u, w * x[v], len(ids)), x), steps, tolerance)
+        return pd.DataFrame({"idx": ids, "q": q})
 
-    return iterate(start, step, "q", [*by, "idx"], steps, tolerance).select(*by, "idx", "q")
+    def loop(nodes: DataFrame, p: DataFrame, by: list[str]) -> DataFrame:
+        fixed = F.when(F.col("role") == "source", 0.0).when(F.col("role") == "target", 1.0)
+        start = nodes.select(*by, "idx", "role", F.coalesce(fixed, F.lit(0.5)).alias("q"))
+
+        def step(s: DataFrame) -> DataFrame:
+            mean = p.join(s.select(*by, F.col("idx").alias("dst"), "q"), [*by, "dst"]).groupBy(*by, F.col("src").alias("idx")).agg(F.sum(F.col("p") * F.col("q")).alias("m"), F.sum("p").alias("w"))
+            met = s.join(mean, [*by, "idx"], "left")
+            moved = F.when(F.col("role").isNotNull() | F.col("w").isNull() | (F.col("w") <= 0), F.col("q")).otherwise(F.col("m"))
+            return met.select(*by, "idx", "role", moved.alias("q"))
+
+        return iterate(start, step, "q", [*by, "idx"], steps, tolerance)
+
+    return solve(nodes.select(*by, "idx", "role"), p, by, kernel, "idx BIGINT, q DOUBLE", loop)
 
 
 def mean_first_passage(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), temperature: float = 1.0, steps: int = 400, tolerance: float | None = 1e-5) -> DataFrame:
     """(by, idx, h): expected steps to the nodes flagged ``attractor``, transition weights exp(-W/T).
 
-    Jacobi h = 1 + P h from the number of nodes; attractors are 0.
+    Jacobi h = 1 + P h from the number of nodes; attractors are 0, nodes without out-edges keep their start.
     """
-    by = list(by)
     weight = F.exp(-clip(F.col("work") / temperature, -50.0, 50.0))
-    p = cut(row_normalized(edges.withColumn("_w0", weight), "_w0", by).select(*by, "src", "dst", "p"))
-    n = nodes.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
-    start = (nodes.join(n, by) if by else nodes.crossJoin(n)).select(*by, "idx", "attractor", F.when(F.col("attractor"), 0.0).otherwise(F.col("n")).alias("h"))
+    p = row_normalized(edges.withColumn("_w0", weight), "_w0", by).select(*by, "src", "dst", "p")
 
-    def step(s: DataFrame) -> DataFrame:
-        mean = p.join(s.select(*by, F.col("idx").alias("dst"), "h"), [*by, "dst"]).groupBy(*by, F.col("src").alias("idx")).agg(F.sum(F.col("p") * F.col("h")).alias("m"))
-        met = s.join(mean, [*by, "idx"], "left")
-        return met.select(*by, "idx", "attractor", F.when(F.col("attractor") | F.col("m").isNull(), F.col("h")).otherwise(1 + F.col("m")).alias("h"))
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n = n.sort_values("idx")
+        ids, u, v, known = coded(n, e)
+        w, rest = e["p"].to_numpy(float)[known], n["attractor"].to_numpy(bool)
+        moves = (np.bincount(u, minlength=len(ids)) > 0) & ~rest
+        start = np.where(rest, 0.0, float(len(ids)))
+        h = _settle(start, lambda x: np.where(moves, 1 + np.bincount(u, w * x[v], len(ids)), x), steps, tolerance)
+        return pd.DataFrame({"idx": ids, "h": h})
 
-    return iterate(start, step, "h", [*by, "idx"], steps, tolerance).select(*by, "idx", "h")
+    def loop(nodes: DataFrame, p: DataFrame, by: list[str]) -> DataFrame:
+        n = nodes.groupBy(*by).agg(F.count("*").cast("double").alias("n"))
+        start = nodes.join(n, by).select(*by, "idx", "attractor", F.when(F.col("attractor"), 0.0).otherwise(F.col("n")).alias("h"))
+
+        def step(s: DataFrame) -> DataFrame:
+            mean = p.join(s.select(*by, F.col("idx").alias("dst"), "h"), [*by, "dst"]).groupBy(*by, F.col("src").alias("idx")).agg(F.sum(F.col("p") * F.col("h")).alias("m"))
+            met = s.join(mean, [*by, "idx"], "left")
+            return met.select(*by, "idx", "attractor", F.when(F.col("attractor") | F.col("m").isNull(), F.col("h")).otherwise(1 + F.col("m")).alias("h"))
+
+        return iterate(start, step, "h", [*by, "idx"], steps, tolerance)
+
+    return solve(nodes.select(*by, "idx", "attractor"), p, by, kernel, "idx BIGINT, h DOUBLE", loop)
+
+
+def _pushed(start: Callable, steps: int, tolerance: float | None) -> Callable:
+    """Kernel: mass pushed along edges p; nodes without outgoing probability keep theirs."""
+
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n = n.sort_values("idx")
+        ids, u, v, known = coded(n, e)
+        w = e["p"].to_numpy(float)[known]
+        stays = np.bincount(u, w, len(ids)) <= 0
+        mass = _settle(start(n), lambda x: np.bincount(v, w * np.where(stays, 0.0, x)[u], len(ids)) + np.where(stays, x, 0.0), steps, tolerance)
+        return pd.DataFrame({"idx": ids, "mass": mass})
+
+    return kernel
 
 
 def push_mass(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), steps: int = 80) -> DataFrame:
     """(by, idx, mass): mass pushed along row-stochastic edges (column p); dead ends keep theirs."""
-    by = list(by)
-    out = edges.groupBy(*by, F.col("src").alias("idx")).agg(F.sum("p").alias("out"))
-    start = nodes.join(out, [*by, "idx"], "left").select(*by, "idx", (F.coalesce("out", F.lit(0.0)) <= 0).alias("dead"), "mass")
-    p = cut(edges.select(*by, "src", "dst", "p"))
 
-    def step(s: DataFrame) -> DataFrame:
-        came = p.join(s.where("not dead").select(*by, F.col("idx").alias("src"), "mass"), [*by, "src"]).groupBy(*by, F.col("dst").alias("idx")).agg(F.sum(F.col("p") * F.col("mass")).alias("m"))
-        met = s.join(came, [*by, "idx"], "left")
-        return met.select(*by, "idx", "dead", (F.coalesce("m", F.lit(0.0)) + F.when(F.col("dead"), F.col("mass")).otherwise(0.0)).alias("mass"))
+    def loop(nodes: DataFrame, p: DataFrame, by: list[str]) -> DataFrame:
+        out = p.groupBy(*by, F.col("src").alias("idx")).agg(F.sum("p").alias("out"))
+        start = nodes.join(out, [*by, "idx"], "left").select(*by, "idx", (F.coalesce("out", F.lit(0.0)) <= 0).alias("dead"), "mass")
+
+        def step(s: DataFrame) -> DataFrame:
+            came = p.join(s.where("not dead").select(*by, F.col("idx").alias("src"), "mass"), [*by, "src"]).groupBy(*by, F.col("dst").alias("idx")).agg(F.sum(F.col("p") * F.col("mass")).alias("m"))
+            met = s.join(came, [*by, "idx"], "left")
+            return met.select(*by, "idx", "dead", (F.coalesce("m", F.lit(0.0)) + F.when(F.col("dead"), F.col("mass")).otherwise(0.0)).alias("mass"))
 
-    return iterate(start, step, "mass", [*by, "idx"], steps).select(*by, "idx", "mass")
+        return iterate(start, step, "mass", [*by, "idx"], steps)
+
+    kernel = _pushed(lambda n: n["mass"].to_numpy(float), steps, None)
+    return solve(nodes.select(*by, "idx", "mass"), edges.select(*by, "src", "dst", "p"), by, kernel, "idx BIGINT, mass DOUBLE", loop)
 
 
 def stationary(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), steps: int = 256, tolerance: float | None = 1e-8) -> DataFrame:
     """(by, idx, mass): power iteration from the uniform distribution; dead ends have a self loop."""
-    by = list(by)
-    n = nodes.groupBy(*by).agg(F.count("*").alias("n"))
-    start = (nodes.join(n, by) if by else nodes.crossJoin(n)).select(*by, "idx", (1.0 / F.col("n")).alias("mass"))
-    out = edges.groupBy(*by, F.col("src").alias("idx")).agg(F.sum("p").alias("out"))
-    loops = nodes.join(out.where("out > 0"), [*by, "idx"], "left_anti").select(*by, F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1.0).alias("p"))
-    p = cut(edges.select(*by, "src", "dst", "p").unionByName(loops))
 
-    def step(s: DataFrame) -> DataFrame:
-        came = p.join(s.select(*by, F.col("idx").alias("src"), "mass"), [*by, "src"]).groupBy(*by, F.col("dst").alias("idx")).agg(F.sum(F.col("p") * F.col("mass")).alias("m"))
-        return s.join(came, [*by, "idx"], "left").select(*by, "idx", F.coalesce("m", F.lit(0.0)).alias("mass"))
+    def loop(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+        n = nodes.groupBy(*by).agg(F.count("*").alias("n"))
+        start = nodes.join(n, by).select(*by, "idx", (1.0 / F.col("n")).alias("mass"))
+        out = edges.groupBy(*by, F.col("src").alias("idx")).agg(F.sum("p").alias("out"))
+        loops = nodes.join(out.where("out > 0"), [*by, "idx"], "left_anti").select(*by, F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1.0).alias("p"))
+        p = cut(edges.select(*by, "src", "dst", "p").unionByName(loops))
+
+        def step(s: DataFrame) -> DataFrame:
+            came = p.join(s.select(*by, F.col("idx").alias("src"), "mass"), [*by, "src"]).groupBy(*by, F.col("dst").alias("idx")).agg(F.sum(F.col("p") * F.col("mass")).alias("m"))
+            return s.join(came, [*by, "idx"], "left").select(*by, "idx", F.coalesce("m", F.lit(0.0)).alias("mass"))
 
-    return iterate(start, step, "mass", [*by, "idx"], steps, tolerance)
+        return iterate(start, step, "mass", [*by, "idx"], steps, tolerance)
+
+    kernel = _pushed(lambda n: np.full(len(n), 1.0 / max(1, len(n))), steps, tolerance)
+    return solve(nodes.select(*by, "idx"), edges.select(*by, "src", "dst", "p"), by, kernel, "idx BIGINT, mass DOUBLE", loop)
 
 
 def spectrum_summary(mass: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -130,31 +192,66 @@ def spectrum_summary(mass: DataFrame, edges: DataFrame, by: Sequence[str] = ())
 def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, idx, cost, via): least cost from any source, with the predecessor.
 
-    Bellman-Ford as a loop of minimum joins; costs may be negative. Of equal costs the smaller
-    predecessor stands. Unreached nodes have no row. The loop ends when nothing improves; a cycle of
-    negative cost, where that never happens, is an error.
+    Bellman-Ford until nothing improves; costs may be negative, a cycle of negative cost, where that
+    never happens, is an error. Of equal costs the smaller predecessor stands; sources have none
+    unless something is cheaper than 0. Unreached nodes have no row.
     """
-    by = list(by)
-    e = cut(edges.groupBy(*by, "src", "dst").agg(F.min("cost").alias("c")))
-    start = sources.select(*by, "idx", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")).distinct()
-
-    def step(best: DataFrame) -> DataFrame:
-        came = e.join(best.select(*by, F.col("idx").alias("src"), "cost"), [*by, "src"]).select(*by, F.col("dst").alias("idx"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("via"))
-        return best.unionByName(came).groupBy(*by, "idx").agg(F.min(F.struct("cost", "via")).alias("b")).select(*by, "idx", "b.cost", "b.via")
-
-    ends = e.select(*by, "src").union(e.select(*by, "dst")).distinct()
-    most = (ends.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) + 2 * CHECK
-    best, sums, done = cut(start), None, 0
-    while True:
-        for _ in range(CHECK):
-            best = step(best)
-        best, done = cut(best), done + CHECK
-        now = tuple(best.agg(F.count("*"), F.sum("cost"), F.bit_xor(F.xxhash64(*by, "idx", "cost"))).first())
-        if now == sums:
-            return best
-        if done > most:
+    e = edges.groupBy(*by, "src", "dst").agg(F.min("cost").alias("c"))
+
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.r_[n["idx"], e["src"], e["dst"]].astype(np.int64))
+        u, v, c = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["c"].to_numpy(float)
+        cost = np.full(len(ids), np.inf)
+        cost[np.searchsorted(ids, n["idx"])] = 0.0
+        for _ in range(len(ids) + 1):
+            new = cost.copy()
+            np.minimum.at(new, v, cost[u] + c)
+            if (new == cost).all():
+                break
+            cost = new
+        else:
             raise ValueError("a cycle of negative cost")
-        sums = now
+        via = np.full(len(ids), np.iinfo(np.int64).max)
+        tight = np.isfinite(cost[u]) & (cost[u] + c == cost[v])
+        np.minimum.at(via, v[tight], ids[u[tight]])
+        start = np.zeros(len(ids), bool)
+        start[np.searchsorted(ids, n["idx"])] = True
+        none = (via == np.iinfo(np.int64).max) | (start & (cost == 0.0))
+        got = np.isfinite(cost)
+        return pd.DataFrame({"idx": ids, "cost": cost, "via": pd.array(np.where(none, 0, via), "Int64")}).assign(via=lambda d: d["via"].mask(none))[got]
+
+    def loop(sources: DataFrame, e: DataFrame, by: list[str]) -> DataFrame:
+        start = sources.select(*by, "idx", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")).distinct()
+        ends = e.select(*by, "src").union(e.select(*by, "dst")).distinct()
+        most = (ends.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) + 1
+        best, front, done = cut(start), cut(start), 0
+        while not front.isEmpty():  # only nodes that got cheaper send on
+            if done > most:
+                raise ValueError("a cycle of negative cost")
+            came = e.join(front.select(*by, F.col("idx").alias("src"), "cost"), [*by, "src"]).select(*by, F.col("dst").alias("idx"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("via"))
+            came = came.groupBy(*by, "idx").agg(F.min(F.struct("cost", "via")).alias("n"))
+            met = best.withColumn("o", F.struct("cost", "via")).select(*by, "idx", "o").join(came, [*by, "idx"], "full")
+            new = cut(met.select(*by, "idx", F.least("o", "n").alias("b"), (F.col("o").isNull() | (F.col("n.cost") < F.col("o.cost"))).alias("cheaper")).select(*by, "idx", "b.cost", "b.via", F.coalesce("cheaper", F.lit(False)).alias("cheaper")))
+            best, front, done = new.drop("cheaper"), new.where("cheaper"), done + 1
+        return best
+
+    return solve(sources.select(*by, "idx"), e, by, kernel, "idx BIGINT, cost DOUBLE, via BIGINT", loop)
+
+
+def least_paths(costs: DataFrame, targets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, target, cost, path): the way of least cost to each target, read back over ``via`` of ``shortest_costs``.
+
+    A target that was not reached has a null cost and an empty path. One step of all ways at a time.
+    """
+    by = list(by)
+    known = costs.select(*by, "idx", "cost", "via")
+    ways = targets.select(*by, F.col("idx").alias("target")).distinct().join(known.withColumnRenamed("idx", "target"), [*by, "target"], "left")
+    path = F.when(F.col("cost").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("target"))
+    state = cut(ways.select(*by, "target", "cost", path.alias("path"), F.col("via").alias("at")))
+    while not state.where("at is not null").isEmpty():
+        up = known.select(*by, F.col("idx").alias("at"), F.col("via").alias("next"))
+        state = cut(state.join(up, [*by, "at"], "left").select(*by, "target", "cost", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")).alias("path"), F.col("next").alias("at")))
+    return state.select(*by, "target", "cost", "path")
 
 
 def greedy_walk(starts: DataFrame, edges: DataFrame, by: Sequence[str] = (), steps: int = 16) -> DataFrame:
@@ -194,33 +291,30 @@ def random_walk(starts: DataFrame, edges: DataFrame, by: Sequence[str] = (), ste
     return out
 
 
-def weak_components(edges: DataFrame, by: Sequence[str] = (), steps: int = 64) -> DataFrame:
-    """(by, idx, component): smallest node reached over edges in either direction, by label spreading with shortcuts."""
+def weak_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, idx, component): smallest node reached over edges in either direction, by label spreading with shortcuts until nothing changes."""
     by = list(by)
     two = edges.where("src <> dst").select(*by, F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
     two = cut(two)
     nodes = edges.select(*by, F.explode(F.array("src", "dst")).alias("idx")).distinct()
     state = cut(nodes.withColumn("component", F.col("idx")))
-    for _ in range(steps):
+    while True:
         near = two.join(state.select(*by, F.col("idx").alias("dst"), "component"), [*by, "dst"]).groupBy(*by, F.col("src").alias("idx")).agg(F.min("component").alias("c"))
         low = state.join(near, [*by, "idx"], "left").select(*by, "idx", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = low.select(*by, F.col("idx").alias("component"), F.col("component").alias("c2"))
         new = cut(low.join(jump, [*by, "component"], "left").select(*by, "idx", "old", F.coalesce("c2", "component").alias("component")))
         state = new.drop("old")
         if new.where("component <> old").isEmpty():
-            break
-    return state
+            return state
 
 
-def reachable(edges: DataFrame, starts: DataFrame, steps: int = 64) -> DataFrame:
-    """(start, node): nodes reached from each start along directed edges, the start included."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node): nodes reached from each start along directed edges, the start included; until no new one comes."""
     e = cut(edges.select("source", "target").distinct())
     seen = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     front = seen
-    for _ in range(steps):
+    while not front.isEmpty():
         new = front.join(e, front.node == e.source).select("start", F.col("target").alias("node")).distinct()
         front = cut(new.join(seen, ["start", "node"], "left_anti"))
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
     return seen
