@@ -97,9 +97,10 @@ def lineage_link_scores(ends: DataFrame, n: int) -> DataFrame:
 
 
 def intervention_scores(ends: DataFrame, energy: str = "energy") -> DataFrame:
-    """Energy drop weighted by alignment and closeness."""
-    drop = F.greatest(F.lit(0.0), F.col(f"a_{energy}") - F.col(f"b_{energy}"))
-    return ends.withColumn("score", drop * (0.25 + F.greatest(F.lit(0.0), F.col("alignment"))) / (0.1 + F.col("dist")))
+    """Energy drop (negative uphill) weighted by alignment and closeness; uphill and flat steps are controls."""
+    drop = F.col(f"a_{energy}") - F.col(f"b_{energy}")
+    scored = ends.withColumn("score", drop * (0.25 + F.greatest(F.lit(0.0), F.col("alignment"))) / (0.1 + F.col("dist")))
+    return scored.withColumn("rationale", F.when(F.col("score") > 0, "downhill").otherwise("control"))
 
 
 def canonical_pairs(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -29,11 +29,11 @@ def subsets(rows: DataFrame, key: str, count: int, share: float, seed: int = 5)
     return _reps(rows, count).where(hash_uniform(F.lit(seed), "rep", key) < share)
 
 
-def commitment_ensemble(nodes: DataFrame, edges: DataFrame, by: Sequence[str], count: int = 8, share: float = 0.8, steps: int = 32, seed: int = 5) -> DataFrame:
+def commitment_ensemble(nodes: DataFrame, edges: DataFrame, by: Sequence[str], count: int = 8, share: float = 0.8, steps: int = 256, seed: int = 5) -> DataFrame:
     """(by, rep, idx, q): committors of subsets of the nodes.
 
     ``nodes``: by, idx, role, energy; ``edges``: by, src, dst. Edges stay where both ends are in
-    the subset; all replicates and graphs iterate in the same joins.
+    the subset; all replicates and graphs are iterated together.
     """
     by = list(by)
     kept = subsets(nodes, "idx", count, share, seed)
@@ -95,7 +95,7 @@ def resolved_barrier(q: DataFrame, by: Sequence[str], count: int = 20, points: i
     return top.groupBy(*by).agg(raw.alias("raw"), (2 * raw - boot).alias("corrected"), F.coalesce(F.stddev_samp(F.when(F.col("rep") > 0, F.col("barrier"))), F.lit(0.0)).alias("standard_error"))
 
 
-def robustness(nodes: DataFrame, edges: DataFrame, by: Sequence[str], temperatures: Sequence[float], steps: int = 32) -> DataFrame:
+def robustness(nodes: DataFrame, edges: DataFrame, by: Sequence[str], temperatures: Sequence[float], steps: int = 256) -> DataFrame:
     """(by, scenario, n, rho, verdict): commitment under other temperatures against the first, by ordinal ranks.
 
     Verdicts by fixed thresholds: stable from 0.70, mixed from 0.35, else fragile.

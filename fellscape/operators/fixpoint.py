@@ -193,8 +193,9 @@ def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = ())
     """(by, idx, cost, via): least cost from any source, with the predecessor.
 
     Bellman-Ford until nothing improves; costs may be negative, a cycle of negative cost, where that
-    never happens, is an error. Of equal costs the smaller predecessor stands; sources have none
-    unless something is cheaper than 0. Unreached nodes have no row.
+    never happens, is an error. Of equal costs the way of fewer edges stands, then the smaller predecessor,
+    so the predecessors form no cycle. Sources have none unless something is cheaper than 0. Unreached
+    nodes have no row.
     """
     e = edges.groupBy(*by, "src", "dst").agg(F.min("cost").alias("c"))
 
@@ -202,7 +203,8 @@ def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = ())
         ids = np.unique(np.r_[n["idx"], e["src"], e["dst"]].astype(np.int64))
         u, v, c = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["c"].to_numpy(float)
         cost = np.full(len(ids), np.inf)
-        cost[np.searchsorted(ids, n["idx"])] = 0.0
+        start = np.searchsorted(ids, n["idx"])
+        cost[start] = 0.0
         for _ in range(len(ids) + 1):
             new = cost.copy()
             np.minimum.at(new, v, cost[u] + c)
@@ -211,28 +213,37 @@ def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = ())
             cost = new
         else:
             raise ValueError("a cycle of negative cost")
-        via = np.full(len(ids), np.iinfo(np.int64).max)
         tight = np.isfinite(cost[u]) & (cost[u] + c == cost[v])
-        np.minimum.at(via, v[tight], ids[u[tight]])
-        start = np.zeros(len(ids), bool)
-        start[np.searchsorted(ids, n["idx"])] = True
-        none = (via == np.iinfo(np.int64).max) | (start & (cost == 0.0))
-        got = np.isfinite(cost)
-        return pd.DataFrame({"idx": ids, "cost": cost, "via": pd.array(np.where(none, 0, via), "Int64")}).assign(via=lambda d: d["via"].mask(none))[got]
+        u, v = u[tight], v[tight]
+        hops, level = np.full(len(ids), len(ids) + 1), 0
+        hops[start[cost[start] == 0.0]] = 0
+        while True:  # levels over the edges of least ways
+            new = np.unique(v[(hops[u] == level) & (hops[v] > level + 1)])
+            if not len(new):
+                break
+            level += 1
+            hops[new] = level
+        via = np.full(len(ids), np.iinfo(np.int64).max)
+        down = hops[u] + 1 == hops[v]
+        np.minimum.at(via, v[down], ids[u[down]])
+        got, none = np.isfinite(cost), via == np.iinfo(np.int64).max
+        return pd.DataFrame({"idx": ids, "cost": cost, "via": pd.Series(np.where(none, 0, via), dtype="Int64").mask(none)})[got]
 
     def loop(sources: DataFrame, e: DataFrame, by: list[str]) -> DataFrame:
-        start = sources.select(*by, "idx", F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via")).distinct()
+        start = sources.select(*by, "idx", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("via")).distinct()
         ends = e.select(*by, "src").union(e.select(*by, "dst")).distinct()
         most = (ends.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) + 1
         best, front, done = cut(start), cut(start), 0
-        while not front.isEmpty():  # only nodes that got cheaper send on
-            if done > most:
+        while not front.isEmpty():  # only nodes with a better way send on
+            if done > 2 * most:
                 raise ValueError("a cycle of negative cost")
-            came = e.join(front.select(*by, F.col("idx").alias("src"), "cost"), [*by, "src"]).select(*by, F.col("dst").alias("idx"), (F.col("cost") + F.col("c")).alias("cost"), F.col("src").alias("via"))
-            came = came.groupBy(*by, "idx").agg(F.min(F.struct("cost", "via")).alias("n"))
-            met = best.withColumn("o", F.struct("cost", "via")).select(*by, "idx", "o").join(came, [*by, "idx"], "full")
-            new = cut(met.select(*by, "idx", F.least("o", "n").alias("b"), (F.col("o").isNull() | (F.col("n.cost") < F.col("o.cost"))).alias("cheaper")).select(*by, "idx", "b.cost", "b.via", F.coalesce("cheaper", F.lit(False)).alias("cheaper")))
-            best, front, done = new.drop("cheaper"), new.where("cheaper"), done + 1
+            came = e.join(front.select(*by, F.col("idx").alias("src"), "cost", "hops"), [*by, "src"])
+            came = came.groupBy(*by, F.col("dst").alias("idx")).agg(F.min(F.struct((F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("via"))).alias("n"))
+            met = best.select(*by, "idx", F.struct("cost", "hops", "via").alias("o")).join(came, [*by, "idx"], "full")
+            way = lambda s: F.struct(F.col(f"{s}.cost"), F.col(f"{s}.hops"))
+            better = F.col("o").isNull() | F.coalesce(way("n") < way("o"), F.lit(False))
+            new = cut(met.select(*by, "idx", F.least("o", "n").alias("b"), better.alias("better")).select(*by, "idx", "b.cost", "b.hops", "b.via", "better"))
+            best, front, done = new.drop("better"), new.where("better"), done + 1
         return best
 
     return solve(sources.select(*by, "idx"), e, by, kernel, "idx BIGINT, cost DOUBLE, via BIGINT", loop)
@@ -293,19 +304,33 @@ def random_walk(starts: DataFrame, edges: DataFrame, by: Sequence[str] = (), ste
 
 def weak_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by, idx, component): smallest node reached over edges in either direction, by label spreading with shortcuts until nothing changes."""
-    by = list(by)
-    two = edges.where("src <> dst").select(*by, F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct()
-    two = cut(two)
+
+    def kernel(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids, u, v, _ = coded(n, e)
+        label = np.arange(len(ids))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, u, label[v])
+            np.minimum.at(new, v, label[u])
+            new = new[new]
+            if (new == label).all():
+                return pd.DataFrame({"idx": ids, "component": ids[label]})
+            label = new
+
+    def loop(nodes: DataFrame, e: DataFrame, by: list[str]) -> DataFrame:
+        two = cut(e.where("src <> dst").select(*by, F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct())
+        state = cut(nodes.withColumn("component", F.col("idx")))
+        while True:
+            near = two.join(state.select(*by, F.col("idx").alias("dst"), "component"), [*by, "dst"]).groupBy(*by, F.col("src").alias("idx")).agg(F.min("component").alias("c"))
+            low = state.join(near, [*by, "idx"], "left").select(*by, "idx", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
+            jump = low.select(*by, F.col("idx").alias("component"), F.col("component").alias("c2"))
+            new = cut(low.join(jump, [*by, "component"], "left").select(*by, "idx", "old", F.coalesce("c2", "component").alias("component")))
+            state = new.drop("old")
+            if new.where("component <> old").isEmpty():
+                return state
+
     nodes = edges.select(*by, F.explode(F.array("src", "dst")).alias("idx")).distinct()
-    state = cut(nodes.withColumn("component", F.col("idx")))
-    while True:
-        near = two.join(state.select(*by, F.col("idx").alias("dst"), "component"), [*by, "dst"]).groupBy(*by, F.col("src").alias("idx")).agg(F.min("component").alias("c"))
-        low = state.join(near, [*by, "idx"], "left").select(*by, "idx", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        jump = low.select(*by, F.col("idx").alias("component"), F.col("component").alias("c2"))
-        new = cut(low.join(jump, [*by, "component"], "left").select(*by, "idx", "old", F.coalesce("c2", "component").alias("component")))
-        state = new.drop("old")
-        if new.where("component <> old").isEmpty():
-            return state
+    return solve(nodes, edges.select(*by, "src", "dst"), by, kernel, "idx BIGINT, component BIGINT", loop)
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -131,8 +131,8 @@ def stationarity_residual(fluxes: DataFrame, nodes: DataFrame, by: Sequence[str]
 
 
 def basin_statistics(nodes: DataFrame, by: Sequence[str], energy: str = "energy", speed: str = "speed") -> DataFrame:
-    """Size, mean and spread of energy and mean speed per basin."""
-    return nodes.groupBy(*by).agg(F.count("*").alias("size"), F.avg(energy).alias("mean_energy"), F.coalesce(F.var_samp(energy), F.lit(0.0)).alias("energy_variance"), F.avg(speed).alias("mean_speed"))
+    """Size, mean and sample deviation of energy (0 for one node) and mean speed per basin; null speeds count for nothing."""
+    return nodes.groupBy(*by).agg(F.count("*").alias("size"), F.avg(energy).alias("energy_mean"), F.coalesce(F.stddev_samp(energy), F.lit(0.0)).alias("energy_spread"), F.avg(speed).alias("velocity_mean"))
 
 
 def flux_matrix(ends: DataFrame, by: Sequence[str] = (), temperature: float = 1.0, label: str = "label") -> DataFrame:
@@ -151,13 +151,33 @@ def work_summary(edges: DataFrame, by: Sequence[str] = (), temperature: float =
 
 
 def jarzynski(works: DataFrame, by: Sequence[str], temperature: float = 1.0) -> DataFrame:
-    """Free energy -T ln <exp(-W/T)> by max-shifted log-mean-exp, ESS, spread and a stability flag."""
+    """Free energy -T ln <exp(-W/T)> by max-shifted log-mean-exp, with cumulants, dissipation, ESS and a stability flag.
+
+    A group is stable if its effective share is at least one half and its works spread by at most 3 T.
+    """
     top = works.groupBy(*by).agg(F.max(-F.col("work") / temperature).alias("m"))
     x = -F.col("work") / temperature - F.col("m")
     met = works.join(top, list(by))
-    out = met.groupBy(*by, "m").agg(F.count("*").alias("n"), F.sum(F.exp(x)).alias("s"), F.sum(F.exp(2 * x)).alias("s2"), F.avg("work").alias("mean_work"), F.var_pop("work").alias("v"))
-    ess = F.col("s") * F.col("s") / F.col("s2")
+    out = met.groupBy(*by, "m").agg(F.count("*").alias("n"), F.sum(F.exp(x)).alias("s"), F.sum(F.exp(2 * x)).alias("s2"), F.avg("work").alias("work_mean"), F.var_pop("work").alias("v"))
+    ess, free, spread = F.col("s") * F.col("s") / F.col("s2"), -temperature * (F.col("m") + F.log(F.col("s") / F.col("n"))), F.sqrt("v")
     return out.select(
-        *by, "n", (-temperature * (F.col("m") + F.log(F.col("s") / F.col("n")))).alias("free_energy"), (F.col("mean_work") - F.col("v") / (2 * temperature)).alias("cumulant"), ess.alias("ess"),
-        F.when(ess / F.col("n") >= 0.2, "stable").otherwise("high_variance").alias("status"),
+        *by, "n", free.alias("free_energy"), "work_mean", spread.alias("work_spread"), (F.col("work_mean") - free).alias("dissipation"), (F.col("work_mean") - F.col("v") / (2 * temperature)).alias("cumulant"), ess.alias("ess"),
+        F.when((ess / F.col("n") >= 0.5) & (spread <= 3.0 * temperature), "stable").otherwise("high_variance").alias("status"),
+    )
+
+
+def jarzynski_nodes(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), temperature: float = 1.0) -> DataFrame:
+    """(by, idx, n, free_energy, ...) of every node from the works of its incoming edges.
+
+    A node without one is ``unsupported``: it keeps its energy, and its other figures are 0.
+    """
+    by = list(by)
+    got = jarzynski(edges, [*by, "dst"], temperature).withColumnRenamed("dst", "idx")
+    met = nodes.select(*by, "idx", "energy").join(got, [*by, "idx"], "left")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("work_mean", "work_spread", "dissipation")]
+    return met.select(
+        *by, "idx", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("free_energy", "energy").alias("free_energy"), *zero, F.coalesce("cumulant", "energy").alias("cumulant"), F.coalesce("ess", F.lit(0.0)).alias("ess"),
+        F.coalesce("status", F.lit("unsupported")).alias("status"),
     )
+
+

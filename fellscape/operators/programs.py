@@ -28,7 +28,7 @@ def program_scores(genes: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     """(key, program, score, z, coverage): mean of a program's markers, z against the other genes of the cell.
 
     ``markers``: program, gene. The background sums are the cell's totals minus the markers', so no
-    cell meets its non-markers once per program. The deviation is at least 1e-9.
+    cell meets its non-markers once per program. The deviation is at least 1e-6.
     """
     total = genes.groupBy(key).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("s2"))
     size = markers.groupBy("program").agg(F.count_distinct("gene").alias("size"))
@@ -37,7 +37,7 @@ def program_scores(genes: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     bn = (F.col("n") - F.col("m")).cast("double")
     mean = (F.col("s") - F.col("ms")) / bn
     var = F.greatest(F.lit(0.0), (F.col("s2") - F.col("ms2") - bn * mean * mean) / (bn - 1))
-    z = F.when(bn > 1, (F.col("ms") / F.col("m") - mean) / F.greatest(F.sqrt(var), F.lit(1e-9)))
+    z = F.when(bn > 1, (F.col("ms") / F.col("m") - mean) / F.greatest(F.sqrt(var), F.lit(1e-6)))
     return x.select(key, "program", (F.col("ms") / F.col("m")).alias("score"), z.alias("z"), (F.col("m") / F.col("size")).alias("coverage"))
 
 

@@ -211,11 +211,16 @@ def bootstrap_means(df: DataFrame, x: str, key: str, replicates: int, by: Sequen
     hash(seed, r, i) mod n, so the same samples come out in any engine.
     """
     clean = with_ordinal_rank(df.where(finite(x)).select(*by, F.col(x).alias("x"), key), [key], by, "_r").select(*by, "x", (F.col("_r") - 1).alias("at"))
-    n = clean.groupBy(*by).agg(F.count("*").alias("n"))
+    return drawn_rows(clean, by, replicates, seed).groupBy(*by, "rep").agg(F.avg("x").alias("mean"))
+
+
+def drawn_rows(placed: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """Samples with replacement of every group, by ``rep``; ``placed`` numbers the rows of a group from 0 in ``at``."""
+    n = placed.groupBy(*by).agg(F.count("*").alias("_n"))
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    draws = (clean.join(n, list(by)) if by else clean.crossJoin(n)).select(*by, "n", "at", reps.alias("rep"))
-    draws = draws.select(*by, "rep", hash_index(F.col("n"), F.lit(seed), "rep", "at").alias("at"))
-    return draws.join(clean, [*by, "at"]).groupBy(*by, "rep").agg(F.avg("x").alias("mean"))
+    draws = (placed.join(n, list(by)) if by else placed.crossJoin(n)).select(*by, "_n", "at", reps.alias("rep"))
+    draws = draws.select(*by, "rep", hash_index(F.col("_n"), F.lit(seed), "rep", "at").alias("at"))
+    return draws.join(placed, [*by, "at"])
 
 
 def bootstrap_interval(means: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -18,15 +18,6 @@ def donor_effects(obs: DataFrame, arm: str, donor: str, outcome: str, control: s
     return diff.groupBy(arm).agg(F.count("*").alias("donors"), F.avg("d").alias("effect"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.avg((F.col("d") > 0).cast("double")).alias("positive"))
 
 
-def study_status(effects: DataFrame, min_donors: int = 3, min_effect: float = 0.1) -> DataFrame:
-    """Status ladder of donor effects: insufficient, inconsistent, weak or supported."""
-    status = (
-        F.when(F.col("donors") < min_donors, "insufficient_donors").when(F.greatest("positive", 1 - F.col("positive")) < 0.8, "inconsistent")
-        .when(F.abs("effect") < min_effect, "weak").otherwise("supported")
-    )
-    return effects.withColumn("status", status)
-
-
 def trial_effects(obs: DataFrame, arm: str, donor: str, outcome: str, treated: str, control: str, min_cells: int = 1) -> DataFrame:
     """(donor, treated, control, effect, blocked): per donor both arms' means, blocked below ``min_cells`` cells an arm."""
     two = obs.where(F.col(donor).isNotNull() & F.col(arm).isin(treated, control) & finite(outcome))

@@ -217,7 +217,7 @@ def top_variance_genes(spark: SparkSession, folder: str) -> DataFrame:
 _SC = _CUR + _PROGRAMS + """, hit AS (SELECT cell_no, program, count(*) AS m, sum(value) AS ms FROM genes JOIN mk USING (gene) GROUP BY 1, 2),
 bg AS (SELECT h.cell_no, h.program, m, ms, count(*) AS bn, avg(value) AS mu, var_samp(value) AS va FROM hit h JOIN genes g USING (cell_no)
   WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.program = h.program AND mk.gene = g.gene) GROUP BY 1, 2, 3, 4),
-sc AS (SELECT h.cell_no, h.program, h.ms / h.m AS score, CASE WHEN bn > 1 THEN (h.ms / h.m - mu) / greatest(sqrt(va), 1e-9) END AS z, h.m / 3.0 AS coverage FROM hit h LEFT JOIN bg b ON b.cell_no = h.cell_no AND b.program = h.program)"""
+sc AS (SELECT h.cell_no, h.program, h.ms / h.m AS score, CASE WHEN bn > 1 THEN (h.ms / h.m - mu) / greatest(sqrt(va), 1e-6) END AS z, h.m / 3.0 AS coverage FROM hit h LEFT JOIN bg b ON b.cell_no = h.cell_no AND b.program = h.program)"""
 
 
 @query(rounded_sql(_SC, "cell_no; program; ~score AS score; ~z AS z; ~coverage AS coverage", "FROM sc", 4))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fellscape.functions.scalar import clipped_exp, phase_of
+from fellscape.functions.scalar import array_norm, clipped_exp, phase_of
 from fellscape.operators import edges as E
 from fellscape.operators import fixpoint as X
 from fellscape.operators import nodeagg as N
 from fellscape.operators import stats as S
 from fellscape.operators import topology as T
 from fellscape.plans.base import FITS, fit_edges, fit_ends, fit_nodes, rounded, rounded_sql
-from fellscape.session import table
+from fellscape.session import latest, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -39,16 +39,8 @@ def edge_path_samples(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(E.path_samples(fit_edges(spark, folder)).select("edge_no", "drift", "density_part", "noise", "weight"), 5)
 
 
-@query(rounded_sql(FITS, "edge_no; ~(exp(-least(greatest(b_energy - a_energy, -50), 50)) - exp(least(greatest(b_energy - a_energy, -50), 50))) * alignment AS current", "FROM ft", 3))
-def edge_current(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(E.edge_current(fit_ends(spark, folder).where("abs(b_energy - a_energy) < 12")).select("edge_no", "current"), 3)
-
-
-ORACLE["edge_current"] = ORACLE["edge_current"] + " WHERE abs(b_energy - a_energy) < 12"
-
-
 @query(rounded_sql(FITS, "edge_no; ~sign(c) * ln(1 + abs(c)) AS log_current", "FROM (SELECT edge_no, (exp(-least(greatest(b_energy - a_energy, -50), 50)) - exp(least(greatest(b_energy - a_energy, -50), 50))) * alignment AS c FROM ft)"))
-def edge_current_all(spark: SparkSession, folder: str) -> DataFrame:
+def edge_current(spark: SparkSession, folder: str) -> DataFrame:
     """Current of every edge, the steepest included, as its signed logarithm."""
     c = F.col("current")
     return rounded(E.edge_current(fit_ends(spark, folder)).select("edge_no", (F.signum(c) * F.log1p(F.abs(c))).alias("log_current")))
@@ -60,13 +52,13 @@ def counterfactual_edges(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(E.counterfactual_alignment(fit_edges(spark, folder), 1, 0.25).select("edge_no", "alignment_cf"))
 
 
-@query(rounded_sql(FITS + ", s AS (SELECT fit_id, edge_no, greatest(0, a_energy - b_energy) * (0.25 + greatest(0, alignment)) / (0.1 + dist) AS score FROM ft)",
-    "fit_id; edge_no; ~score AS score", "FROM (SELECT *, row_number() OVER (PARTITION BY fit_id ORDER BY round(score, 9) DESC, edge_no) AS rn FROM s) WHERE rn <= 5"))
+@query(rounded_sql(FITS + ", s AS (SELECT fit_id, edge_no, (a_energy - b_energy) * (0.25 + greatest(0, alignment)) / (0.1 + dist) AS score FROM ft)",
+    "fit_id; edge_no; ~score AS score; CASE WHEN score > 0 THEN 'downhill' ELSE 'control' END AS rationale", "FROM (SELECT *, row_number() OVER (PARTITION BY fit_id ORDER BY round(score, 9) DESC, edge_no) AS rn FROM s) WHERE rn <= 5"))
 def intervention_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """The five best steps of every fit."""
     w = Window.partitionBy("fit_id").orderBy(F.desc(F.round("score", 9)), "edge_no")
     s = E.intervention_scores(fit_ends(spark, folder))
-    return rounded(s.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("fit_id", "edge_no", "score"))
+    return rounded(s.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("fit_id", "edge_no", "score", "rationale"))
 
 
 @query(rounded_sql(FITS, "e.fit_id; ~coalesce(avg(abs(e.work + r.work)), 0) AS gap; count(r.work) AS reversible", "FROM fe e LEFT JOIN fe r ON r.fit_id = e.fit_id AND r.src = e.dst AND r.dst = e.src GROUP BY e.fit_id"))
@@ -114,10 +106,21 @@ def stationarity_residual(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(N.stationarity_residual(_fluxes(spark, folder), fit_nodes(spark, folder), BY), 8)
 
 
-@query(rounded_sql(FITS, "fit_id; label; count(*) AS size; ~avg(energy) AS mean_energy; ~coalesce(var_samp(energy), 0) AS energy_variance; ~avg(density) AS mean_speed", "FROM fn GROUP BY fit_id, label"))
+_SPEED = FITS + """, nc AS (SELECT node_no AS idx, nullif(upper(trim(cell_id)), '') AS cell FROM (SELECT *, row_number() OVER (PARTITION BY node_no ORDER BY loaded_at DESC) AS rn FROM fit_cells) WHERE rn = 1),
+cc AS (SELECT nullif(upper(trim(cell_id)), '') AS cell, vel FROM (SELECT *, row_number() OVER (PARTITION BY cell_no ORDER BY loaded_at DESC) AS rn FROM cells) WHERE rn = 1 AND deleted_at IS NULL),
+sp AS (SELECT cell, sqrt(list_sum(list_transform(vel, lambda x: x * x))) AS speed FROM cc WHERE len(vel) = 24 AND len(list_filter(vel, lambda x: isfinite(x))) = 24)"""
+
+
+@query(rounded_sql(_SPEED, "fit_id; label; count(*) AS size; ~avg(energy) AS energy_mean; ~coalesce(stddev_samp(energy), 0) AS energy_spread; ~avg(speed) AS velocity_mean",
+    "FROM fn LEFT JOIN nc USING (idx) LEFT JOIN sp USING (cell) GROUP BY fit_id, label"))
 def basin_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """Size, energy and density of every label of every fit."""
-    return rounded(N.basin_statistics(fit_nodes(spark, folder), [*BY, "label"], "energy", "density"))
+    """Size, energy and speed of every label of every fit; the speed is that of the nodes' cells with a complete velocity."""
+    cell = F.nullif(F.upper(F.trim("cell_id")), F.lit("")).alias("cell")
+    of = latest(table(spark, folder, "fit_cells"), "node_no", "loaded_at", ["cell_id"]).select(F.col("node_no").alias("idx"), cell)
+    vel = latest(table(spark, folder, "cells"), "cell_no", "loaded_at", ["deleted_at", "cell_id", "vel"]).where("deleted_at is null").select(cell, "vel")
+    whole = vel.where(F.expr("cell is not null and size(vel) = 24 and forall(vel, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"))
+    nodes = fit_nodes(spark, folder).join(of, "idx", "left").join(whole.select("cell", array_norm("vel").alias("speed")), "cell", "left")
+    return rounded(N.basin_statistics(nodes, [*BY, "label"], "energy", "speed"))
 
 
 @query(rounded_sql(FITS, "fit_id; a_label AS from_basin; b_label AS to_basin; ~sum(exp(-greatest(0, work))) AS flux", "FROM ft WHERE a_label <> b_label GROUP BY ALL"))
@@ -131,11 +134,14 @@ def work_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(N.work_summary(fit_edges(spark, folder), BY))
 
 
-@query(rounded_sql(FITS + ", tp AS (SELECT fit_id, dst, max(-work) AS m FROM fe GROUP BY 1, 2), ag AS (SELECT fit_id, dst, m, count(*) AS n, sum(exp(-work - m)) AS s, sum(exp(2 * (-work - m))) AS s2, avg(work) AS w, var_pop(work) AS v FROM fe JOIN tp USING (fit_id, dst) GROUP BY 1, 2, 3)",
-    "fit_id; dst; n; ~-(m + ln(s / n)) AS free_energy; ~w - v / 2 AS cumulant; ~s * s / s2 AS ess; CASE WHEN s * s / s2 / n >= 0.2 THEN 'stable' ELSE 'high_variance' END AS status", "FROM ag"))
+@query(rounded_sql(FITS + """, tp AS (SELECT fit_id, dst, max(-work) AS m FROM fe GROUP BY 1, 2),
+ag AS (SELECT fit_id, dst AS idx, m, count(*) AS n, sum(exp(-work - m)) AS s, sum(exp(2 * (-work - m))) AS s2, avg(work) AS w, var_pop(work) AS v FROM fe JOIN tp USING (fit_id, dst) GROUP BY 1, 2, 3),
+jz AS (SELECT fit_id, idx, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN energy ELSE -(m + ln(s / n)) END AS f, coalesce(w, 0) AS w, coalesce(v, 0) AS v, coalesce(s * s / s2, 0) AS ess FROM fn LEFT JOIN ag USING (fit_id, idx))""",
+    "fit_id; idx; n; ~f AS free_energy; ~w AS work_mean; ~sqrt(v) AS work_spread; ~CASE WHEN n = 0 THEN 0 ELSE w - f END AS dissipation; ~CASE WHEN n = 0 THEN f ELSE w - v / 2 END AS cumulant; ~ess AS ess;"
+    " CASE WHEN n = 0 THEN 'unsupported' WHEN ess / n >= 0.5 AND sqrt(v) <= 3 THEN 'stable' ELSE 'high_variance' END AS status", "FROM jz", 7))
 def jarzynski_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Free energy of every node from the works of its incoming edges."""
-    return rounded(N.jarzynski(fit_edges(spark, folder), ["fit_id", "dst"]))
+    """Free energy of every node from the works of its incoming edges; nodes without one keep their energy."""
+    return rounded(N.jarzynski_nodes(fit_nodes(spark, folder), fit_edges(spark, folder), BY), 7)
 
 
 @query(rounded_sql(FITS, "fit_id; ~avg((b_energy <= a_energy)::INT) AS downhill; ~avg(alignment) AS alignment; ~avg(abs(work)) AS dissipation; ~sum(alignment) / greatest(count(*), 1) AS balance", "FROM ft GROUP BY fit_id"))
@@ -208,12 +214,13 @@ def critical_edges(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(s.withColumn("rn", F.row_number().over(w)).where("rn <= 10").select("fit_id", "edge_no", "score"))
 
 
-_SOFT = FITS + """, mx AS (SELECT fit_id, src, max(-work) AS m FROM fe GROUP BY 1, 2), w1 AS (SELECT fe.*, exp(least(greatest(-work - m, -60), 60)) AS w FROM fe JOIN mx USING (fit_id, src)),
+_SOFT = FITS + """, mx AS (SELECT fit_id, src, max(a_energy - b_energy) AS m FROM ft GROUP BY 1, 2), w1 AS (SELECT ft.*, exp(least(greatest(a_energy - b_energy - m, -60), 60)) AS w FROM ft JOIN mx USING (fit_id, src)),
 tr AS (SELECT *, w / sum(w) OVER (PARTITION BY fit_id, src) AS p FROM w1)"""
 
 
 def _chain(spark: SparkSession, folder: str) -> DataFrame:
-    return X.softmax_edges(fit_edges(spark, folder).withColumn("score", -F.col("work")), "score", BY)
+    """Transition probabilities: softmax of the energy drops of each source's edges."""
+    return X.softmax_edges(fit_ends(spark, folder).withColumn("score", F.col("a_energy") - F.col("b_energy")), "score", BY)
 
 
 @query(rounded_sql(_SOFT, "edge_no; ~p AS p", "FROM tr"))
@@ -221,36 +228,36 @@ def transition_softmax(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_chain(spark, folder).select("edge_no", "p"))
 
 
-@query(rounded_sql(_SOFT + ", ac AS (SELECT tr.fit_id, edge_no, p, greatest(0, b_energy - a_energy) AS act FROM tr JOIN ft USING (fit_id, edge_no))",
+@query(rounded_sql(_SOFT + ", ac AS (SELECT fit_id, edge_no, p, greatest(0, b_energy - a_energy) AS act FROM tr)",
     "fit_id; ~avg(act) AS mean_activation; ~avg(p) AS mean_probability; ~1 / greatest(sum(p * exp(-act)), 1e-12) AS escape_time", "FROM ac GROUP BY fit_id"))
 def transition_risk(spark: SparkSession, folder: str) -> DataFrame:
     """Mean activation and probability of steps, and an escape time, per fit."""
-    met = _chain(spark, folder).select("fit_id", "edge_no", "p").join(E.barrier_heights(fit_ends(spark, folder)).select("edge_no", "barrier"), "edge_no")
+    met = E.barrier_heights(_chain(spark, folder))
     return rounded(met.groupBy("fit_id").agg(F.avg("barrier").alias("mean_activation"), F.avg("p").alias("mean_probability"), (1 / F.greatest(F.sum(F.col("p") * F.exp(-F.col("barrier"))), F.lit(1e-12))).alias("escape_time")))
 
 
-# ---- fixed points: a fixed number of steps, so that SQL makes the same
+# ---- fixed points: as many steps as the operators make at most, so that SQL makes the same
 
-STEPS = 12
+COMMITTOR, PASSAGE, PUSH, POWER = 256, 400, 80, 256
 _ROLE = """, ro AS (SELECT fit_id, idx, CASE WHEN label = 'stem' THEN 'source' WHEN label = 'erythroid' THEN 'target' END AS role FROM fn),
 cw AS (SELECT fit_id, src, dst, exp(least(greatest(-(b_energy - a_energy), -40), 40)) AS w FROM ft), cp AS (SELECT fit_id, src, dst, w / sum(w) OVER (PARTITION BY fit_id, src) AS p FROM cw)"""
 _COMM = "RECURSIVE " + FITS + _ROLE + f""", ce AS (SELECT c.fit_id, src, dst, p FROM cp c JOIN ro ON ro.fit_id = c.fit_id AND ro.idx = c.src WHERE role IS NULL
  UNION ALL SELECT fit_id, idx, idx, 1.0 FROM ro WHERE role IS NOT NULL OR (fit_id, idx) NOT IN (SELECT fit_id, src FROM cp)),
 cm(it, fit_id, idx, q) AS (SELECT 0, fit_id, idx, CASE role WHEN 'source' THEN 0.0::DOUBLE WHEN 'target' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END FROM ro
- UNION ALL SELECT any_value(it) + 1, e.fit_id, e.src, sum(e.p * q) FROM cm JOIN ce e ON e.fit_id = cm.fit_id AND e.dst = cm.idx WHERE it < {STEPS} GROUP BY e.fit_id, e.src),
-qq AS (SELECT fit_id, idx, q FROM cm WHERE it = {STEPS})"""
+ UNION ALL SELECT any_value(it) + 1, e.fit_id, e.src, sum(e.p * q) FROM cm JOIN ce e ON e.fit_id = cm.fit_id AND e.dst = cm.idx WHERE it < {COMMITTOR} GROUP BY e.fit_id, e.src),
+qq AS (SELECT fit_id, idx, q FROM cm WHERE it = {COMMITTOR})"""
 
 
 def _committor(spark: SparkSession, folder: str) -> DataFrame:
     role = F.when(F.col("label") == "stem", "source").when(F.col("label") == "erythroid", "target")
     nodes = fit_nodes(spark, folder).select("fit_id", "idx", role.alias("role"))
     weight = clipped_exp(-(F.col("b_energy") - F.col("a_energy")), 40.0)
-    return X.committor(nodes, fit_ends(spark, folder).withColumn("weight", weight), BY, STEPS, None)
+    return X.committor(nodes, fit_ends(spark, folder).withColumn("weight", weight), BY, COMMITTOR, None)
 
 
 @query(rounded_sql(_COMM, "fit_id; idx; ~q AS q", "FROM qq"))
 def committor(spark: SparkSession, folder: str) -> DataFrame:
-    """Probability to reach erythroid before stem, after a fixed number of steps."""
+    """Probability to reach erythroid before stem."""
     return rounded(_committor(spark, folder))
 
 
@@ -296,7 +303,7 @@ kk AS (SELECT fit_id, src, dst, exp(-least(greatest(work, -50), 50)) AS w FROM f
 _MFPT = "RECURSIVE " + FITS + _ATT + f""", nn AS (SELECT fit_id, count(*)::DOUBLE AS n FROM fn GROUP BY 1), fx AS (SELECT fit_id, idx, (fit_id, idx) IN (SELECT fit_id, idx FROM at0) AS att, (fit_id, idx) IN (SELECT fit_id, src FROM kp) AS moves FROM fn),
 ke AS (SELECT k.fit_id, src, dst, p, 1.0::DOUBLE AS one FROM kp k JOIN fx ON fx.fit_id = k.fit_id AND fx.idx = k.src WHERE NOT att UNION ALL SELECT fit_id, idx, idx, 1.0, 0.0 FROM fx WHERE att OR NOT moves),
 hm(it, fit_id, idx, h) AS (SELECT 0, fit_id, idx, CASE WHEN att THEN 0.0::DOUBLE ELSE n END FROM fx JOIN nn USING (fit_id)
- UNION ALL SELECT any_value(it) + 1, e.fit_id, e.src, any_value(e.one) + sum(e.p * h) FROM hm JOIN ke e ON e.fit_id = hm.fit_id AND e.dst = hm.idx WHERE it < {STEPS} GROUP BY e.fit_id, e.src)"""
+ UNION ALL SELECT any_value(it) + 1, e.fit_id, e.src, any_value(e.one) + sum(e.p * h) FROM hm JOIN ke e ON e.fit_id = hm.fit_id AND e.dst = hm.idx WHERE it < {PASSAGE} GROUP BY e.fit_id, e.src)"""
 
 
 def _lowest(spark: SparkSession, folder: str, n: int) -> DataFrame:
@@ -304,18 +311,19 @@ def _lowest(spark: SparkSession, folder: str, n: int) -> DataFrame:
     return fit_nodes(spark, folder).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select("fit_id", "idx")
 
 
-@query(rounded_sql(_MFPT, "fit_id; idx; ~h AS h", f"FROM hm WHERE it = {STEPS}", 4))
+@query(rounded_sql(_MFPT, "fit_id; idx; ~h AS h", f"FROM hm WHERE it = {PASSAGE}", 4))
 def mean_first_passage(spark: SparkSession, folder: str) -> DataFrame:
-    """Steps to the three lowest nodes, after a fixed number of iterations."""
+    """Steps to the three lowest nodes."""
     nodes = fit_nodes(spark, folder).select("fit_id", "idx").join(_lowest(spark, folder, 3).withColumn("a", F.lit(True)), ["fit_id", "idx"], "left").select("fit_id", "idx", F.coalesce("a", F.lit(False)).alias("attractor"))
-    return rounded(X.mean_first_passage(nodes, fit_ends(spark, folder), BY, 1.0, STEPS, None), 4)
+    return rounded(X.mean_first_passage(nodes, fit_ends(spark, folder), BY, 1.0, PASSAGE, None), 4)
 
 
-_PUSH = "RECURSIVE " + FITS + _ATT + f""", pe AS (SELECT fit_id, src, dst, p FROM kp UNION ALL SELECT fit_id, idx, idx, 1.0 FROM fn WHERE (fit_id, idx) NOT IN (SELECT fit_id, src FROM kp)),
+def _pushed(steps: int) -> str:
+    return "RECURSIVE " + FITS + _ATT + f""", pe AS (SELECT fit_id, src, dst, p FROM kp UNION ALL SELECT fit_id, idx, idx, 1.0 FROM fn WHERE (fit_id, idx) NOT IN (SELECT fit_id, src FROM kp)),
 ct AS (SELECT fit_id, count(*) AS n FROM fn GROUP BY 1), z0 AS (SELECT fit_id, idx FROM fn),
 pm(it, fit_id, idx, mass) AS (SELECT 0, fit_id, idx, 1.0::DOUBLE / n FROM fn JOIN ct USING (fit_id)
- UNION ALL SELECT any_value(it) + 1, e.fit_id, e.dst, sum(e.p * mass) FROM pm JOIN pe e ON e.fit_id = pm.fit_id AND e.src = pm.idx WHERE it < {STEPS} GROUP BY e.fit_id, e.dst),
-fm AS (SELECT z.fit_id, z.idx, coalesce(mass, 0) AS mass FROM z0 z LEFT JOIN pm ON pm.fit_id = z.fit_id AND pm.idx = z.idx AND it = {STEPS})"""
+ UNION ALL SELECT any_value(it) + 1, e.fit_id, e.dst, sum(e.p * mass) FROM pm JOIN pe e ON e.fit_id = pm.fit_id AND e.src = pm.idx WHERE it < {steps} GROUP BY e.fit_id, e.dst),
+fm AS (SELECT z.fit_id, z.idx, coalesce(mass, 0) AS mass FROM z0 z LEFT JOIN pm ON pm.fit_id = z.fit_id AND pm.idx = z.idx AND it = {steps})"""
 
 
 def _steps(spark: SparkSession, folder: str) -> DataFrame:
@@ -328,22 +336,22 @@ def _uniform(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.join(nodes.groupBy("fit_id").agg(F.count("*").alias("n")), "fit_id").select("fit_id", "idx", (1.0 / F.col("n")).alias("mass"))
 
 
-@query(rounded_sql(_PUSH, "fit_id; idx; ~mass AS mass", "FROM fm"))
+@query(rounded_sql(_pushed(PUSH), "fit_id; idx; ~mass AS mass", "FROM fm"))
 def forecast_mass(spark: SparkSession, folder: str) -> DataFrame:
-    """Mass of every node after a fixed number of steps from the uniform distribution."""
-    return rounded(X.push_mass(_uniform(spark, folder), _steps(spark, folder), BY, STEPS))
+    """Mass of every node after 80 steps from the uniform distribution."""
+    return rounded(X.push_mass(_uniform(spark, folder), _steps(spark, folder), BY, PUSH))
 
 
-@query(rounded_sql(_PUSH, "fit_id; idx; ~mass AS mass", "FROM fm"))
+@query(rounded_sql(_pushed(POWER), "fit_id; idx; ~mass AS mass", "FROM fm"))
 def spectral_stationary(spark: SparkSession, folder: str) -> DataFrame:
     """Power iteration with self loops at dead ends."""
-    return rounded(X.stationary(fit_nodes(spark, folder), _steps(spark, folder), BY, STEPS, None))
+    return rounded(X.stationary(fit_nodes(spark, folder), _steps(spark, folder), BY, POWER, None))
 
 
-@query(rounded_sql(_PUSH + ", ph AS (SELECT fit_id, src AS idx, -sum(p * ln(p)) AS h FROM kp WHERE p > 0 GROUP BY 1, 2)", "fit_id; ~sum(mass * coalesce(h, 0)) AS entropy_rate; ~-sum(CASE WHEN mass > 0 THEN mass * ln(mass) ELSE 0 END) AS entropy", "FROM fm LEFT JOIN ph USING (fit_id, idx) GROUP BY fit_id"))
+@query(rounded_sql(_pushed(POWER) + ", ph AS (SELECT fit_id, src AS idx, -sum(p * ln(p)) AS h FROM kp WHERE p > 0 GROUP BY 1, 2)", "fit_id; ~sum(mass * coalesce(h, 0)) AS entropy_rate; ~-sum(CASE WHEN mass > 0 THEN mass * ln(mass) ELSE 0 END) AS entropy", "FROM fm LEFT JOIN ph USING (fit_id, idx) GROUP BY fit_id"))
 def chain_entropy(spark: SparkSession, folder: str) -> DataFrame:
     e = _steps(spark, folder)
-    return rounded(X.spectrum_summary(X.stationary(fit_nodes(spark, folder), e, BY, STEPS, None), e, BY))
+    return rounded(X.spectrum_summary(X.stationary(fit_nodes(spark, folder), e, BY, POWER, None), e, BY))
 
 
 _BF = "RECURSIVE " + FITS + """, be AS (SELECT fit_id, src, dst, min(greatest(0, work) + greatest(0, b_energy - a_energy)) AS c FROM ft GROUP BY 1, 2, 3),
@@ -363,12 +371,33 @@ def minimum_action(spark: SparkSession, folder: str) -> DataFrame:
 ORACLE["minimum_action"] = rounded_sql(_BF, "fit_id; idx; ~cost AS cost", "FROM bf WHERE it = 64")
 
 
+@query()
+def minimum_action_path(spark: SparkSession, folder: str) -> DataFrame:
+    """The path of least action from the first node of every fit to its three lowest ones."""
+    e = E.barrier_heights(fit_ends(spark, folder)).withColumn("cost", F.greatest("work", F.lit(0.0)) + F.col("barrier"))
+    start = fit_nodes(spark, folder).groupBy("fit_id").agg(F.min("idx").alias("idx"))
+    ways = X.least_paths(X.shortest_costs(start, e, BY), _lowest(spark, folder, 3), BY)
+    return rounded(ways.select("fit_id", "target", F.col("cost").alias("action"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.col("cost").isNotNull().alias("reachable")))
+
+
+@query()
+def multi_source_energy(spark: SparkSession, folder: str) -> DataFrame:
+    """Free energies propagated from a source of every component of every fit, with coverage."""
+    return rounded(T.multi_source_energy(fit_edges(spark, folder), "fit_id"))
+
+
 @query()
 def components(spark: SparkSession, folder: str) -> DataFrame:
     """Weakly connected components of every fit's usable edges."""
     return X.weak_components(fit_edges(spark, folder), BY)
 
 
+ORACLE["components"] = "WITH RECURSIVE " + FITS + """, tw AS (SELECT DISTINCT fit_id, src AS a, dst AS b FROM fe UNION SELECT fit_id, dst, src FROM fe),
+lb(it, fit_id, node, c) AS (SELECT 0, fit_id, a, min(least(a, b)) FROM tw GROUP BY fit_id, a
+ UNION ALL SELECT any_value(l.it) + 1, t.fit_id, t.a, least(min(l.c), min(m.c)) FROM lb l JOIN tw t ON t.fit_id = l.fit_id AND t.b = l.node JOIN lb m ON m.fit_id = t.fit_id AND m.node = t.a WHERE l.it < 60 GROUP BY t.fit_id, t.a)
+SELECT fit_id, node AS idx, c AS component FROM lb WHERE it = 60"""
+
+
 @query()
 def greedy_walks(spark: SparkSession, folder: str) -> DataFrame:
     """Greedy walks from the three lowest nodes: alignment less 0.15 of the climb."""
@@ -380,7 +409,7 @@ def greedy_walks(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def random_walks(spark: SparkSession, folder: str) -> DataFrame:
     """Visits of seeded random walks from the three lowest nodes."""
-    w = X.random_walk(_lowest(spark, folder, 3), _steps(spark, folder), BY, 8)
+    w = X.random_walk(_lowest(spark, folder, 3), _chain(spark, folder), BY, 25)
     return w.groupBy("fit_id", "at").agg(F.count("*").alias("visits"))
 
 

@@ -30,7 +30,7 @@ def _roles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ensemble(spark: SparkSession, folder: str) -> DataFrame:
-    return M.commitment_ensemble(_roles(spark, folder), fit_edges(spark, folder), BY, 4, 0.8, 12)
+    return M.commitment_ensemble(_roles(spark, folder), fit_edges(spark, folder), BY, 8, 0.8)
 
 
 @query()
@@ -47,13 +47,13 @@ def ensemble_agreement(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def robustness_scenarios(spark: SparkSession, folder: str) -> DataFrame:
     """Commitment under half and double temperature against the baseline."""
-    return rounded(M.robustness(_roles(spark, folder), fit_edges(spark, folder), BY, [1.0, 0.5, 2.0], 12))
+    return rounded(M.robustness(_roles(spark, folder), fit_edges(spark, folder), BY, [1.0, 0.5, 2.0]))
 
 
 @query()
 def resolved_barrier(spark: SparkSession, folder: str) -> DataFrame:
     """Bias-corrected barrier of the commitment profile of every fit."""
-    q = M.commitment_ensemble(_roles(spark, folder), fit_edges(spark, folder), BY, 1, 1.1, 12)
+    q = M.commitment_ensemble(_roles(spark, folder), fit_edges(spark, folder), BY, 1, 1.1)
     return rounded(M.resolved_barrier(q, BY, 10))
 
 

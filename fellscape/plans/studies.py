@@ -206,10 +206,10 @@ def sign_flip_test(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(S.sign_flip_test(diff, "d", "donor", 20, ["intervention"]))
 
 
-@query(rounded_sql(_DE, "intervention; donors; ~effect AS effect; ~sd AS sd; ~positive AS positive; CASE WHEN donors < 3 THEN 'insufficient_donors' WHEN greatest(positive, 1 - positive) < 0.8 THEN 'inconsistent' WHEN abs(effect) < 0.1 THEN 'weak' ELSE 'supported' END AS status", "FROM ef"))
+@query(rounded_sql(_DE, "intervention; donors; ~effect AS effect; ~sd AS sd; ~positive AS positive", "FROM ef"))
 def donor_effects(spark: SparkSession, folder: str) -> DataFrame:
-    """Donor-paired effects of interventions against the vehicle, with status."""
-    return rounded(D.study_status(D.donor_effects(observations(spark, folder), "intervention", "donor", "p", "vehicle")))
+    """Donor-paired effects of interventions against the vehicle over all timepoints; ``study_effects`` judges them at the endpoint."""
+    return rounded(D.donor_effects(observations(spark, folder), "intervention", "donor", "p", "vehicle"))
 
 
 _ARM = _OBS + """, tw AS (SELECT donor, avg(p) FILTER (WHERE intervention = 'program_A') AS treated, avg(p) FILTER (WHERE intervention = 'control') AS control, count(*) FILTER (WHERE intervention = 'program_A') AS a, count(*) FILTER (WHERE intervention = 'control') AS b

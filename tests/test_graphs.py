@@ -57,6 +57,9 @@ def test_shortest_costs_with_negative_edges_and_unreached_nodes(spark, size):
     e = spark.createDataFrame([(0, 1, 4.0), (0, 2, 1.0), (2, 1, -2.0), (1, 3, 1.0), (9, 0, 1.0)], "src BIGINT, dst BIGINT, cost DOUBLE")
     got = {r.idx: (r.cost, r.via) for r in X.shortest_costs(spark.createDataFrame([(0,)], "idx BIGINT"), e).collect()}
     assert got == {0: (0.0, None), 1: (-1.0, 2), 2: (1.0, 0), 3: (0.0, 1)}
+    free = spark.createDataFrame([(0, 5, 1.0), (5, 1, 0.0), (1, 5, 0.0), (1, 2, 0.0), (2, 1, 0.0)], "src BIGINT, dst BIGINT, cost DOUBLE")  # ways of no cost form no cycle
+    got = {r.idx: (r.cost, r.via) for r in X.shortest_costs(spark.createDataFrame([(0,)], "idx BIGINT"), free).collect()}
+    assert got == {0: (0.0, None), 5: (1.0, 0), 1: (1.0, 5), 2: (1.0, 1)}
 
 
 def test_walks(spark):
@@ -253,5 +256,5 @@ def test_currents_of_steep_edges_are_kept(spark, monkeypatch):
 
     ends = spark.createDataFrame([(1, 0.0, 1.0, 1.0), (2, 0.0, 20.0, 0.5), (3, 90.0, 0.0, 1.0)], "edge_no BIGINT, a_energy DOUBLE, b_energy DOUBLE, alignment DOUBLE")
     monkeypatch.setattr(fits, "fit_ends", lambda spark, folder: ends)
-    got = {r.edge_no: r.log_current for r in fits.edge_current_all(spark, "").collect()}
+    got = {r.edge_no: r.log_current for r in fits.edge_current(spark, "").collect()}
     assert got == pytest.approx({1: -np.log1p(np.exp(1) - np.exp(-1)), 2: -np.log1p(0.5 * np.exp(20)), 3: 50.0}, abs=1e-5)
