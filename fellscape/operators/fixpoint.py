@@ -241,7 +241,7 @@ def shortest_costs(sources: DataFrame, edges: DataFrame, by: Sequence[str] = ())
             came = came.groupBy(*by, F.col("dst").alias("idx")).agg(F.min(F.struct((F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("via"))).alias("n"))
             met = best.select(*by, "idx", F.struct("cost", "hops", "via").alias("o")).join(came, [*by, "idx"], "full")
             way = lambda s: F.struct(F.col(f"{s}.cost"), F.col(f"{s}.hops"))
-            better = F.col("o").isNull() | F.coalesce(way("n") < way("o"), F.lit(False))
+            better = F.col("n").isNotNull() & (F.col("o").isNull() | (way("n") < way("o")))
             new = cut(met.select(*by, "idx", F.least("o", "n").alias("b"), better.alias("better")).select(*by, "idx", "b.cost", "b.hops", "b.via", "better"))
             best, front, done = new.drop("better"), new.where("better"), done + 1
         return best
