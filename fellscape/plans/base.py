@@ -12,6 +12,8 @@ from fellscape.operators.nodeagg import local_density, local_diffusion
 from fellscape.session import latest, table
 
 DIMS, K = 6, 10
+#: Numbers of a cell's position (spliced), as many again follow for the velocity (unspliced).
+NUMBERS = 32
 XS, VS = [f"x{i}" for i in range(DIMS)], [f"v{i}" for i in range(DIMS)]
 
 
@@ -20,11 +22,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def walsh(i: int, term: str) -> str:
+    """SQL of coordinate i: the product of 32 numbers with a Walsh function, so that all of them count; {0} in ``term`` is the number's position."""
+    signs = ["-" if bin((i + 1) & j).count("1") % 2 else "+" for j in range(NUMBERS)]
+    return "(0.0::DOUBLE " + " ".join(f"{s} {term.format(j)}" for j, s in enumerate(signs)) + f") / {NUMBERS**0.5!r}::DOUBLE"
+
+
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of the embeddings table: six spliced numbers as position, unspliced minus spliced as velocity."""
-    e = lambda i: F.col("embedding")[i].cast("double")
-    rows = table(spark, folder, "embeddings")
-    return rows.select(F.col("vec_id").alias("idx"), "label", *[e(i).alias(f"x{i}") for i in range(DIMS)], *[(e(32 + i) - e(i)).alias(f"v{i}") for i in range(DIMS)])
+    """Cells of the embeddings table: six orthonormal projections of all spliced numbers as position, of unspliced minus spliced as velocity."""
+    at = lambda k: f"cast(embedding[{k}] AS DOUBLE)"
+    exprs = [f"{walsh(i, at('{0}'))} AS x{i}" for i in range(DIMS)] + [f"{walsh(i, '(' + at('{0}+' + str(NUMBERS)) + ' - ' + at('{0}') + ')')} AS v{i}" for i in range(DIMS)]
+    plain = [e.replace("0.0::DOUBLE", "0D").replace("::DOUBLE", "D") for e in exprs]
+    return table(spark, folder, "embeddings").selectExpr("vec_id AS idx", "label", *plain)
 
 
 def knn(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,9 +74,9 @@ def dot_sql(a: str, b: str, n: int = DIMS) -> str:
 _DIST = "sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(DIMS)) + ")"
 PTS = (
     "pts AS (SELECT vec_id AS idx, label, "
-    + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(DIMS))
+    + ", ".join(f"{walsh(i, 'embedding[{0}+1]::DOUBLE')} AS x{i}" for i in range(DIMS))
     + ", "
-    + ", ".join(f"embedding[{33 + i}]::DOUBLE - embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(DIMS))
+    + ", ".join(f"{walsh(i, '(embedding[{0}+33]::DOUBLE - embedding[{0}+1]::DOUBLE)')} AS v{i}" for i in range(DIMS))
     + " FROM embeddings)"
 )
 KNN = f"""{PTS},
