@@ -1,7 +1,11 @@
-"""Entropic optimal transport on a cost table, and what is read off its plan."""
+"""Entropic optimal transport on a cost table or between successive snapshots, and what is read off its plan."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +68,93 @@ def squared_costs(a: DataFrame, b: DataFrame, dims: list[str]) -> DataFrame:
     return left.crossJoin(right).select("i", "j", d.alias("cost"))
 
 
+#: Source-target pairs whose costs a task holds at once.
+BLOCK_PAIRS = 1 << 21
+
+
+def _potentials(x: np.ndarray, y: np.ndarray, la: np.ndarray, lb: np.ndarray, epsilon: float, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(f, g, violation): dual potentials over epsilon, with costs made block by block and never kept."""
+    f, g = np.zeros(len(x)), np.zeros(len(y))
+
+    def lse(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out, step = np.empty(len(a)), max(1, BLOCK_PAIRS // max(1, len(b)))
+        for s in range(0, len(a), step):
+            z = h[None] - ((a[s : s + step, None] - b[None]) ** 2).sum(2) / epsilon
+            top = z.max(1)
+            out[s : s + step] = top + np.log(np.exp(z - top[:, None]).sum(1))
+        return out
+
+    off = np.inf
+    for _ in range(steps):
+        rows = lse(x, y, g)
+        off = float(np.abs(np.exp(f + rows) - np.exp(la)).max())
+        if off <= tolerance:  # columns are exact after their update
+            break
+        f = la - rows
+        g = lb - lse(y, x, f)
+    return f, g, off
+
+
+def snapshot_transport(cells: DataFrame, snapshot: str, dims: Sequence[str], epsilon: float = 0.05, steps: int = 500, tolerance: float = 1e-6, draws: int = 0, t: float = 0.5, seed: int = 1) -> DataFrame:
+    """Couples all cells of every two successive snapshots; one transition a task, transitions in parallel.
+
+    ``cells``: the snapshot, idx, mass and ``dims``. Masses are normalized per snapshot, null or zero masses
+    take no part; ``epsilon`` is in units of the transition's mean cost. Without ``draws``: (source, target,
+    idx, mass, cost, entropy, t_*, violation), the share of the plan of every source and its mean target;
+    ``violation`` is the greatest error of a marginal, at most ``tolerance`` unless ``steps`` were too few. With ``draws``:
+    (source, target, draw, z_*), positions at time ``t`` of pairs drawn from the plan by hashes.
+    """
+    import hashlib
+
+    dims = list(dims)
+    names = cells.select(snapshot).dropna().distinct()  # a row for each snapshot
+    after = F.lead(snapshot).over(Window.orderBy(snapshot))
+    steps_of = F.broadcast(names.select(F.col(snapshot).alias("source"), after.alias("target")).where("target is not null"))
+    kept = cells.where("mass > 0")
+    side = lambda end, k: kept.withColumn(end, F.col(snapshot)).join(steps_of, end).select("source", "target", F.lit(k).alias("_side"), "idx", "mass", *dims)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = (frame[frame["_side"] == k].sort_values("idx") for k in (0, 1))
+        x, y = (d[dims].to_numpy(float) for d in (a, b))
+        pa, pb = (d["mass"].to_numpy(float) / d["mass"].sum() for d in (a, b))
+        mean = float(pa @ (x**2).sum(1) + pb @ (y**2).sum(1) - 2 * (pa @ x) @ (pb @ y))
+        eps = epsilon * max(mean, 1e-300)
+        f, g, off = _potentials(x, y, np.log(pa), np.log(pb), eps, steps, tolerance)
+        n, step = len(x), max(1, BLOCK_PAIRS // max(1, len(y)))
+        mass, cost, entropy, mapped = np.empty(n), np.empty(n), np.empty(n), np.empty((n, len(dims)))
+
+        def plan(s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+            c = ((x[s:e, None] - y[None]) ** 2).sum(2)
+            return np.exp(f[s:e, None] + g[None] - c / eps), c
+
+        for s in range(0, n, step):
+            p, c = plan(s, s + step)
+            e = slice(s, s + step)
+            mass[e], cost[e] = p.sum(1), (p * c).sum(1)
+            entropy[e] = -(p * np.log(np.maximum(p, 1e-300))).sum(1)
+            mapped[e] = (p @ y) / np.maximum(mass[e], 1e-300)[:, None]
+        if not draws:
+            out = pd.DataFrame({"idx": a["idx"].to_numpy(), "mass": mass, "cost": cost, "entropy": entropy}).assign(**{f"t_{d}": mapped[:, k] for k, d in enumerate(dims)}, violation=off)
+        else:
+            u = np.array([int(hashlib.md5(f"{seed}:{key[0]}:{k}".encode()).hexdigest()[:8], 16) / 2.0**32 for k in range(draws)])
+            upto = np.cumsum(mass)
+            at = np.minimum(np.searchsorted(upto, u * upto[-1], side="right"), n - 1)
+            z = np.empty((draws, len(dims)))
+            for k, i in enumerate(at):
+                run_ = np.cumsum(plan(i, i + 1)[0][0])
+                j = min(int(np.searchsorted(run_, u[k] * upto[-1] - (upto[i] - mass[i]), side="right")), len(y) - 1)
+                z[k] = (1 - t) * x[i] + t * y[j]
+            out = pd.DataFrame({"draw": np.arange(draws)}).assign(**{f"z_{d}": z[:, k] for k, d in enumerate(dims)})
+        out.insert(0, "target", key[1])
+        out.insert(0, "source", key[0])
+        return out
+
+    kind = cells.schema[snapshot].dataType.simpleString()
+    rest = "draw BIGINT, " + ", ".join(f"z_{d} DOUBLE" for d in dims) if draws else "idx BIGINT, mass DOUBLE, cost DOUBLE, entropy DOUBLE, " + ", ".join(f"t_{d} DOUBLE" for d in dims) + ", violation DOUBLE"
+    rows = side("source", 0).unionByName(side("target", 1))
+    return rows.groupBy("source", "target").applyInPandas(run, f"source {kind}, target {kind}, {rest}")
+
+
 def plan_summary(plan: DataFrame) -> DataFrame:
     """Transport cost, entropy of the plan and its mass."""
     p = F.col("p")

@@ -10,7 +10,7 @@ from fellscape.operators import stats as S
 from fellscape.operators import study as D
 from fellscape.operators import transport as O
 from fellscape.operators.programs import alias_table
-from fellscape.plans.base import points, rounded, rounded_sql
+from fellscape.plans.base import XS, points, rounded, rounded_sql
 from fellscape.session import table
 from fellscape.streaming import windows as W
 
@@ -353,36 +353,29 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ transport and names
 
 
-def _clouds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    p = points(spark, folder)
-    a = p.where("label = 0").select(F.col("idx").alias("i"), "x0", "x1")
-    b = p.where("label = 9").select(F.col("idx").alias("j"), "x0", "x1")
-    return a, b
-
-
-def _coupled(spark: SparkSession, folder: str):
-    a, b = _clouds(spark, folder)
-    return (a, b), O.sinkhorn(O.squared_costs(a, b, ["x0", "x1"]), a.select("i", F.lit(1.0).alias("mass")), b.select("j", F.lit(1.0).alias("mass")), 0.05, 10)
+def _coupled(spark: SparkSession, folder: str, draws: int = 0) -> DataFrame:
+    """Transport between the cells of every two successive labels, over all coordinates."""
+    return O.snapshot_transport(points(spark, folder).withColumn("mass", F.lit(1.0)), "label", XS, draws=draws)
 
 
 @query()
 def sinkhorn_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Cost and entropy of the plan between the first and last label."""
-    return rounded(O.plan_summary(_coupled(spark, folder)[1][0]))
+    """Cost, entropy and greatest marginal error of the plan between every two successive labels."""
+    by = _coupled(spark, folder).groupBy("source", "target")
+    return rounded(by.agg(F.count("*").alias("cells"), F.sum("cost").alias("cost"), F.sum("entropy").alias("entropy"), F.sum("mass").alias("mass"), (F.max("violation") <= 1e-6).alias("converged")))
 
 
 @query()
 def barycentric_velocity(spark: SparkSession, folder: str) -> DataFrame:
     """Velocity that the plan implies for every source cell."""
-    (a, b), (plan, _, _) = _coupled(spark, folder)
-    return rounded(O.implied_velocity(O.barycentric_map(plan, b, ["x0", "x1"]), a, ["x0", "x1"], 1.0))
+    mapped = _coupled(spark, folder).withColumnRenamed("idx", "i").select("i", *[f"t_{x}" for x in XS])
+    return rounded(O.implied_velocity(mapped, points(spark, folder).withColumnRenamed("idx", "i"), XS, 1.0), 4)
 
 
 @query()
 def displacement_interpolation(spark: SparkSession, folder: str) -> DataFrame:
-    """Positions half way along pairs drawn from the plan."""
-    (a, b), (plan, _, _) = _coupled(spark, folder)
-    return rounded(O.displaced(plan, a, b, ["x0", "x1"], 0.5, 200))
+    """Positions half way along pairs drawn from the plans."""
+    return rounded(_coupled(spark, folder, 200), 4)
 
 
 @query("""WITH s AS (SELECT p_brand AS program, string_split(replace(p_name, ' ', '|'), '|') AS parts FROM part), u AS (SELECT program, unnest(parts) AS g, generate_subscripts(parts, 1) - 1 AS position FROM s),

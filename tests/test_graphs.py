@@ -216,6 +216,19 @@ def test_sinkhorn_marginals_and_shift(spark):
     assert all(abs(r.u_x - 0.1) < 0.02 and abs(r.u_y) < 0.02 for r in v)
 
 
+def test_snapshots_are_coupled_until_the_marginals_hold(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK_PAIRS", 20)
+    rng = np.random.default_rng(3)
+    rows = [(s, 100 * s + i, 1.0, float(x), float(y)) for s, n in ((0, 12), (1, 15), (3, 9)) for i, (x, y) in enumerate(rng.normal(size=(n, 2)) + s)]
+    cells = spark.createDataFrame(rows, "snap INT, idx BIGINT, mass DOUBLE, x DOUBLE, y DOUBLE")
+    got = O.snapshot_transport(cells, "snap", ["x", "y"]).collect()
+    assert {(r.source, r.target) for r in got} == {(0, 1), (1, 3)} and len(got) == 27 and all(r.violation <= 1e-6 for r in got)
+    assert all(abs(r.mass - (1 / 12 if r.source == 0 else 1 / 15)) <= 1e-6 for r in got)
+    z = O.snapshot_transport(cells, "snap", ["x", "y"], draws=50).where("source = 0").collect()
+    assert len(z) == 50 and 0 < np.mean([r.z_x for r in z]) < 1
+    assert O.snapshot_transport(cells.limit(0), "snap", ["x", "y"]).count() == 0
+
+
 def test_work_falls_downhill(spark):
     nodes = spark.createDataFrame([(0, 0.0, 1.0, 1.0, 1.0), (1, 1.0, 0.0, 2.0, 1.0)], "idx BIGINT, x0 DOUBLE, v0 DOUBLE, density DOUBLE, diffusion DOUBLE")
     e = spark.createDataFrame([(0, 1), (1, 0), (0, 5)], "src BIGINT, dst BIGINT")

@@ -91,8 +91,8 @@ def test_principal_axes_have_fixed_signs(spark):
 
 def test_donor_effects_pair_donors(spark):
     rows = [(d, arm, v) for d, t, c in (("a", 0.8, 0.5), ("b", 0.82, 0.51), ("c", 0.79, 0.49)) for arm, v in (("A", t), ("vehicle", c))] + [("d", "A", 0.1), (None, "A", 0.0)]
-    e = D.study_status(D.donor_effects(spark.createDataFrame(rows, "donor STRING, arm STRING, p DOUBLE"), "arm", "donor", "p", "vehicle")).first()
-    assert (e.donors, e.status) == (3, "supported") and e.effect == pytest.approx(0.303333, abs=1e-5)
+    e = D.donor_effects(spark.createDataFrame(rows, "donor STRING, arm STRING, p DOUBLE"), "arm", "donor", "p", "vehicle").first()
+    assert (e.donors, e.positive) == (3, 1.0) and e.effect == pytest.approx(0.303333, abs=1e-5)
 
 
 def test_ids_duplicates_gates(spark):
