@@ -168,7 +168,16 @@ QUERIES = {
     "p6_percentiles": p6_percentiles,
 }
 
+_ASCII = "translate({0}, '０１２３４５６７８９', '0123456789')"
+_POOLED = r"(?i)(?:^|[^\p{L}\p{N}])p(?:ool)?[\s._:#/-]*(?:(?:number|num|nr|no)[\s._:#°º-]*)?(\d+)"
+
 ORACLE = {
+    "p4_found": f"""
+WITH RECURSIVE s AS (SELECT DISTINCT regexp_replace({_ASCII.format("donor")}, '[^0-9]', '', 'g') AS dn, regexp_extract({_ASCII.format("replicate")}, '{_POOLED}', 1) AS pn FROM study_cells),
+e AS (SELECT DISTINCT dn::BIGINT AS d, pn::BIGINT AS p FROM s WHERE dn <> '' AND pn <> ''),
+lb(it, d, c) AS (SELECT 0, d, d FROM (SELECT DISTINCT d FROM e) UNION ALL SELECT any_value(l.it) + 1, y.d, min(l.c) FROM lb l JOIN e x ON x.d = l.d JOIN e y ON y.p = x.p WHERE l.it < 40 GROUP BY y.d),
+f AS (SELECT d AS donor_no, c AS group_no, count(*) OVER (PARTITION BY c) AS n FROM lb WHERE it = 40)
+SELECT donor_no, group_no FROM f WHERE n > 1""",
     "p8_roundtrip": "SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS exact FROM documents WHERE doc_id IS NOT NULL",
     "p6_found": """
 WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_no ORDER BY loaded_at DESC) AS rn FROM fit_cells) WHERE rn = 1 AND deleted_at IS NULL),
