@@ -142,9 +142,9 @@ def calibration_error(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def top_share_recall(df: DataFrame, p: str, y: str, key: str, share: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """Share of the top ceil(share * n) outcomes that are among as many top predictions."""
-    clean = df.where(finite(p) & finite(y)).select(*by, key, (-F.col(p)).alias("_p_"), (-F.col(y)).alias("_y_"))
+    clean = df.where(finite(p) & finite(y)).select(*by, F.col(key).alias("_key"), (-F.col(p)).alias("_p_"), (-F.col(y)).alias("_y_"))
     size = clean.groupBy(*by).agg(F.ceil(F.lit(share) * F.count("*")).alias("k"))
-    ranked = with_ordinal_rank(with_ordinal_rank(clean, ["_p_", key], by, "_rp"), ["_y_", key], by, "_ry")
+    ranked = with_ordinal_rank(with_ordinal_rank(clean, ["_p_", "_key"], by, "_rp"), ["_y_", "_key"], by, "_ry")
     met = ranked.join(size, list(by)) if by else ranked.crossJoin(size)
     return met.groupBy(*by).agg(F.max("k").alias("k"), (F.sum(((F.col("_rp") <= F.col("k")) & (F.col("_ry") <= F.col("k"))).cast("double")) / F.max("k")).alias("recall"))
 
