@@ -3,10 +3,14 @@
 A vector becomes a set of ``TOKENS`` tokens (j, floor((a_j x + b_j) / width)): the Jaccard
 similarity of two sets falls with the distance of the vectors. MinHash banding over the sets gives
 candidate pairs; exact Jaccard and exact distance verify them; connected components form groups.
-Copies equal in every number count as one record until the end. Inside a bucket no pair list is
-built: pivots link what they reach, and only records near the border of a pivot are compared
-further, which finds the same components. A bucket beyond ``BUCKET`` records is cut into chunks and
-every pair of chunks is checked, so no bucket is skipped or capped. Degrees count all members within
+Records of one k-means list (centroids of a bounded sample, as in ``vectors``) come to one task,
+which links what the first bands bring together. Then all bands are looked at in rounds. A round
+shuffles one summary for each component in a bucket: the corners of its records' sketches, which
+bound distances from below. Only where summaries of two components come within the limit are the
+records fetched and verified. Shuffle files of a round are deleted before the next. Inside a
+bucket no pair list is built: pivots link what they reach, and only records near the border of a
+pivot are compared further, which finds the same components. A bucket beyond ``BUCKET`` records is
+cut into chunks and every pair of chunks is checked, so no bucket is skipped or capped. Degrees count all members within
 the limit, found through the lists and cells of ``vectors.build_index``.
 """
 
@@ -20,13 +24,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fellscape.llm.components import boruvka_components
-from fellscape.llm.vectors import CELL, Index, _groups, _matrix, _packed, build_index, list_probes, meetings
-from fellscape.session import cut, parallelism
+from fellscape.llm.vectors import CELL, MAX_LISTS, SAMPLE_PER_LIST, Index, _groups, _matrix, _packed, build_index, list_probes, lloyd, meetings, nearest_centroid
+from fellscape.session import cut, parallelism, release
 
 TOKENS, WIDTH = 64, 4.0  # tokens a record; width of a token's cell in units of the distance limit
 BANDS, ROWS = 96, 5
 #: Bands whose links are contracted before the other bands are looked at.
 FIRST_BANDS = 4
+#: Records a task links at once, and those a list of the first placing should hold.
+PIECE, LIST = 8192, 4096
+#: Projections that bound distances from below, and their steps a limit.
+SKETCH, STEPS = 6, 8
+#: Bytes that a round of bands may shuffle at least (else as many as the vectors take), and those of a part of it.
+ROUND, PART = 256 << 20, 8 << 20
 #: Least Jaccard similarity of a link; two records at the limit share 0.67 in expectation.
 JACCARD = 0.4
 BUCKET = 8192
@@ -41,23 +51,48 @@ def token_cells(x: np.ndarray, limit: float, seed: int = 3) -> np.ndarray:
     return np.floor(x @ a / (WIDTH * limit) + b).astype(np.int64)
 
 
-def min_hash_bands(cells: np.ndarray, seed: int = 9) -> np.ndarray:
-    """(records, BANDS) bucket numbers of the token sets."""
-    seeds = np.random.default_rng(seed).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+def min_hash_bands(cells: np.ndarray, seed: int = 9, bands: range = range(BANDS)) -> np.ndarray:
+    """(records, bands) bucket numbers of the token sets.
+
+    A hash is computed once for each distinct token; records only compare its ranks.
+    """
+    seeds = np.random.default_rng(seed).integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)[bands.start * ROWS : bands.stop * ROWS]
     one, two, far = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
+    out = np.zeros((len(cells), len(bands)), np.uint64)
+    if not len(cells):
+        return out.view(np.int64)
     with np.errstate(over="ignore"):
-        token = cells.astype(np.uint64) * np.uint64(TOKENS) + np.arange(TOKENS, dtype=np.uint64)
-        out = np.zeros((len(cells), BANDS), np.uint64)
-        for i in range(BANDS):
-            for m in seeds[i * ROWS : (i + 1) * ROWS]:
-                h = (token ^ m) * one
-                h ^= h >> far
-                h *= two
-                h ^= h >> far
-                h *= one
-                out[:, i] = (out[:, i] ^ h.min(1)) * two
-                out[:, i] ^= out[:, i] >> far
-            out[:, i] += np.uint64(i)
+        low, high = cells.min(0), cells.max(0)
+        if (high.astype(float) - low).sum() < 1 << 14:  # all numbers between the ends
+            width = high - low + 1
+            first = np.cumsum(width) - width
+            at, token = cells - low + first, np.repeat(np.arange(TOKENS), width)
+            known = (np.arange(width.sum()) - first[token] + low[token]).astype(np.uint64) * np.uint64(TOKENS) + token.astype(np.uint64)
+        else:
+            tokens = cells.astype(np.uint64) * np.uint64(TOKENS) + np.arange(TOKENS, dtype=np.uint64)
+            known, at = np.unique(tokens, return_inverse=True)
+            at = at.reshape(tokens.shape)
+        step = max(1, BLOCK // (4 * len(known) + 1)) // ROWS * ROWS or ROWS
+        for lo in range(0, len(seeds), step):
+            h = (known[:, None] ^ seeds[None, lo : lo + step]) * one
+            h ^= h >> far
+            h *= two
+            h ^= h >> far
+            h *= one
+            order = np.argsort(h, axis=0)
+            ranks = np.empty(h.shape, np.uint16 if len(known) < 1 << 16 else np.uint32)
+            np.put_along_axis(ranks, order, np.arange(len(known), dtype=ranks.dtype)[:, None], 0)
+            h = np.take_along_axis(h, order, 0)
+            for s in range(0, len(cells), 1024):
+                least = ranks[at[s : s + 1024, 0]]
+                for j in range(1, TOKENS):
+                    np.minimum(least, ranks[at[s : s + 1024, j]], out=least)
+                least = h[least, np.arange(h.shape[1])].reshape(len(least), -1, ROWS)
+                part = out[s : s + 1024, lo // ROWS : (lo + h.shape[1]) // ROWS]
+                for r in range(ROWS):
+                    part[:] = (part ^ least[:, :, r]) * two
+                    part ^= part >> far
+        out += np.arange(bands.start, bands.stop, dtype=np.uint64)
     return out.view(np.int64)
 
 
@@ -112,98 +147,339 @@ def reach(x: np.ndarray, limit: float, cells: np.ndarray | None = None, least: f
     return label, np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _signatures(vecs: DataFrame, limit: float) -> DataFrame:
-    """(key, bands, sketch): buckets and four orthonormal projections that bound distances from below."""
+def _pack(x: np.ndarray) -> list[bytes]:
+    """Vectors as bytes, in single precision where that is exact."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float32)
+    return [h.tobytes() if e else d.tobytes() for h, d, e in zip(half, x, (half == x).all(1))]
+
+
+def _unpack(rows: list[bytes], dim: int) -> np.ndarray:
+    out, short = np.empty((len(rows), dim)), np.array([len(r) == 4 * dim for r in rows], bool)
+    for kind, these in ((np.float32, short), (np.float64, ~short)):
+        out[these] = np.frombuffer(b"".join(r for r, s in zip(rows, these) if s), kind).reshape(-1, dim)
+    return out
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest row of its component) after the links a - b."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+
+
+def link_piece(x: np.ndarray, limit: float) -> np.ndarray:
+    """Components of the records of a task by what the first bands bring together; labels as of ``_merged``."""
+    cells, label = token_cells(x, limit), np.arange(len(x))
+    for bucket in min_hash_bands(cells, bands=range(FIRST_BANDS)).T:
+        order = np.lexsort((label, bucket))
+        starts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+        ends = np.r_[starts[1:], len(x)]
+        mixed = label[order[starts]] != label[order[ends - 1]]
+        found = []
+        for s, e in zip(starts[mixed], ends[mixed]):
+            rows = order[s:e]
+            _, a, b = reach(x[rows], limit, cells[rows], JACCARD)
+            found.append((rows[a], rows[b]))
+        if found:
+            label = _merged(label, *(np.concatenate(c) for c in zip(*found)))
+    return label
+
+
+def _pieces(vecs: DataFrame, dim: int, limit: float) -> DataFrame:
+    """(piece, keys, comps, vecs): records in pieces of at most ``PIECE``, sorted by component.
+
+    Records of one k-means list come to one task, so that most groups lie in one piece and are
+    linked there; where a group is cut, the buckets of ``_requests`` bring its parts together.
+    """
+    spark, piece = vecs.sparkSession, PIECE
+    lists = min(MAX_LISTS, vecs.count() // LIST)
+    picked = vecs.orderBy(F.xxhash64("key")).limit(SAMPLE_PER_LIST * lists).select("vec").collect() if lists > 1 else []
+    book = lloyd(_unpack([bytes(r[0]) for r in picked], dim), lists) if picked else np.zeros((1, dim))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = nearest_centroid(_unpack(b.column(1).to_pylist(), dim), book)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), b.column(0), b.column(1)], names=["list", "key", "vec"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def linked():
+            t = pa.Table.from_batches(held)
+            keys = t.column("key").to_numpy()
+            order = np.argsort(keys)
+            keys, rows = keys[order], t.column("vec").to_pylist()
+            rows = [rows[i] for i in order]
+            comps = keys[link_piece(_unpack(rows, dim), limit)]
+            order = np.argsort(comps, kind="stable")
+            return _piece_rows([(int(keys[0]), keys[order], comps[order], [rows[i] for i in order])])
+
+        for b in batches:
+            at = b.column(0).to_numpy()
+            cuts = [*np.flatnonzero(np.diff(at)) + 1, b.num_rows] if b.num_rows else []
+            lo = 0
+            for hi in cuts:
+                new = not held or held[-1].column(0)[-1].as_py() != at[lo]
+                if new and n >= piece // 2:
+                    yield linked()
+                    held, n = [], 0
+                while lo < hi:
+                    take = min(hi - lo, piece - n)
+                    held.append(b.slice(lo, take))
+                    lo, n = lo + take, n + take
+                    if n == piece:
+                        yield linked()
+                        held, n = [], 0
+        if held:
+            yield linked()
+
+    placed = vecs.select("key", "vec").mapInArrow(place, "list INT, key BIGINT, vec BINARY")
+    return cut(placed.repartition(parallelism(spark), "list").sortWithinPartitions("list").mapInArrow(link, _PIECE), free=True)
+
+
+_PIECE = "piece BIGINT, keys BINARY, comps BINARY, sizes BINARY, vecs BINARY"
+
+
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of pieces; ``sizes`` are the bytes of each vector."""
+    cols = [(p, k.tobytes(), c.tobytes(), np.array([len(r) for r in v], np.int32).tobytes(), b"".join(v)) for p, k, c, v in rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cols), [pa.int64(), *[pa.binary()] * 4])], names=["piece", "keys", "comps", "sizes", "vecs"])
+
+
+def _read_pieces(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """(piece, keys, comps, vectors) of every row."""
+    for k in range(b.num_rows):
+        piece, keys, comps, sizes, vecs = (b.column(c)[k].as_py() for c in range(5))
+        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+        yield piece, np.frombuffer(keys, np.int64), np.frombuffer(comps, np.int64), [vecs[s:e] for s, e in zip([0, *ends], ends)]
+
+
+#: What a piece says of one component in one bucket: how many of its records, between which corners of their sketches.
+_SUMMARY = np.dtype([("bucket", "<i8"), ("comp", "<i8"), ("piece", "<i8"), ("n", "<i4"), ("lo", "<i2", SKETCH), ("hi", "<i2", SKETCH)])
+_REQUEST = np.dtype([("bucket", "<i8"), ("comp", "<i8"), ("chunks", "<i4")])
+
+
+def _sketch(x: np.ndarray, limit: float) -> np.ndarray:
+    """Orthonormal projections, rounded down to ``STEPS`` a limit; clipped, which brings none farther apart."""
+    side = np.linalg.qr(np.random.default_rng(1).normal(size=(x.shape[1], min(SKETCH, x.shape[1]))))[0]
+    out = np.zeros((len(x), SKETCH), np.int16)
+    out[:, : side.shape[1]] = np.clip(np.floor(x @ side * (STEPS / limit)), -32768, 32767)
+    return out
+
+
+def _summaries(pieces: DataFrame, dim: int, limit: float, bands: range, parts: int) -> DataFrame:
+    """(part, blob): the ``_SUMMARY`` of every component in every bucket of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows == 0:
+            for piece, _, comps, rows in _read_pieces(b):
+                x = _unpack(rows, dim)
+                sketch, out = _sketch(x, limit), []
+                for bucket in min_hash_bands(token_cells(x, limit), bands=bands).T:
+                    order = np.argsort(bucket, kind="stable")  # the components are sorted
+                    at, comp = bucket[order], comps[order]
+                    starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (comp[1:] != comp[:-1])])
+                    one = np.zeros(len(starts), _SUMMARY)
+                    one["bucket"], one["comp"], one["piece"], one["n"] = at[starts], comp[starts], piece, np.diff(np.r_[starts, len(at)])
+                    one["lo"], one["hi"] = np.minimum.reduceat(sketch[order], starts), np.maximum.reduceat(sketch[order], starts)
+                    out.append(one)
+                all_ = np.concatenate(out)
+                to = (all_["bucket"].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                all_ = all_[np.argsort(to, kind="stable")]
+                ends = np.cumsum(np.bincount(to, minlength=parts))
+                some = np.flatnonzero(np.diff(np.r_[0, ends]))
+                blobs = [all_[(ends[p - 1] if p else 0) : ends[p]].tobytes() for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    return pieces.mapInArrow(run, "part INT, blob BINARY")
+
+
+def near_summaries(all_: np.ndarray) -> np.ndarray:
+    """Which summaries, sorted by bucket and lo[0], a summary of another component in the bucket may have records within the limit of."""
+    n = len(all_)
+    near, bucket, comp = np.zeros(n, bool), all_["bucket"], all_["comp"]
+    lo, hi = all_["lo"].astype(np.int32), all_["hi"].astype(np.int32)
+    i, step = np.arange(n - 1), 1
+    while len(i):
+        j = i + step
+        same = (bucket[i] == bucket[j]) & (lo[j, 0] - hi[i, 0] <= STEPS + 1)
+        i, j = i[same], j[same]
+        other = comp[i] != comp[j]
+        for s in range(0, len(i), BLOCK >> 2):
+            k = slice(s, s + (BLOCK >> 2))
+            p, q = i[k][other[k]], j[k][other[k]]
+            gap = np.maximum(np.maximum(lo[q] - hi[p], lo[p] - hi[q]) - 1, 0)
+            hit = (gap.astype(np.int64) ** 2).sum(1) <= STEPS * STEPS
+            near[p[hit]] = near[q[hit]] = True
+        step += 1
+        i = i[i + step < n]
+    return near
+
+
+def _requests(pieces: DataFrame, dim: int, limit: float, bands: range, parts: int) -> DataFrame:
+    """(piece, blob): the ``_REQUEST`` of every component that may have records near those of another in a bucket."""
+    bucket_rows = BUCKET
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["part"]):
+            all_ = np.frombuffer(b"".join(t.column("blob").to_pylist()), _SUMMARY)
+            bucket = all_["bucket"]
+            order = np.argsort(bucket, kind="stable")
+            again = bucket[order][1:] == bucket[order][:-1]
+            all_ = all_[order[np.r_[again, False] | np.r_[False, again]]]  # buckets of several summaries
+            all_ = all_[np.lexsort((all_["lo"][:, 0], all_["bucket"]))]
+            all_ = all_[near_summaries(all_)] if len(all_) else all_
+            if not len(all_):
                 continue
-            x = _matrix(b.column(1))
-            bands = min_hash_bands(token_cells(x, limit))
-            side = np.linalg.qr(np.random.default_rng(1).normal(size=(x.shape[1], min(4, x.shape[1]))))[0]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(bands), pa.list_(pa.int64())), pa.array([r.tobytes() for r in x @ side], pa.binary())], names=["key", "bands", "sketch"]
-            )
+            starts = np.flatnonzero(np.r_[True, np.diff(all_["bucket"]) != 0])
+            many = np.add.reduceat(all_["n"].astype(np.int64), starts)
+            out = np.zeros(len(all_), _REQUEST)
+            out["bucket"], out["comp"] = all_["bucket"], all_["comp"]
+            out["chunks"] = np.repeat(-(-many // bucket_rows), np.diff(np.r_[starts, len(all_)]))
+            order = np.argsort(all_["piece"], kind="stable")
+            names, at = np.unique(all_["piece"][order], return_index=True)
+            blobs = [out[order[s:e]].tobytes() for s, e in zip(at, [*at[1:], len(out)])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["piece", "blob"])
+
+    rows = _summaries(pieces, dim, limit, bands, parts).repartition(parts, "part").sortWithinPartitions("part")
+    return rows.mapInArrow(run, "piece BIGINT, blob BINARY")
 
-    return vecs.select("key", "vec").mapInArrow(run, "key BIGINT, bands ARRAY<BIGINT>, sketch BINARY")
 
+def _links(pieces: DataFrame, requests: DataFrame, dim: int, limit: float, bands: range) -> DataFrame:
+    """(a, b): components that a verified link of two records in a bucket joins.
 
-def _mixed(rows: DataFrame, limit: float) -> DataFrame:
-    """(bucket, key) of records that a sketch does not part from records of other components."""
+    A bucket beyond ``BUCKET`` records comes as all pairs of its chunks.
+    """
     by = ["bucket", "i", "j"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (_, keys, comps, rows) in enumerate(_read_pieces(b)):
+                asked = np.frombuffer(b"".join(b.column(5)[k].as_py()), _REQUEST)
+                x = _unpack(rows, dim)
+                for bucket in min_hash_bands(token_cells(x, limit), bands=bands).T:
+                    mine = asked[np.isin(asked["bucket"], bucket)]
+                    if not len(mine):
+                        continue
+                    # (bucket, component) of the records among those asked for
+                    near = np.flatnonzero(np.isin(bucket, mine["bucket"]))
+                    pair = np.concatenate([np.stack([mine["bucket"], mine["comp"]], 1), np.stack([bucket[near], comps[near]], 1)])
+                    _, code = np.unique(pair, axis=0, return_inverse=True)
+                    code = code.ravel()
+                    at = np.full(code.max() + 1, -1)
+                    at[code[: len(mine)]] = np.arange(len(mine))
+                    at = at[code[len(mine) :]]
+                    near, at = near[at >= 0], at[at >= 0]
+                    chunks = mine["chunks"][at].astype(np.int64)
+                    own = (keys[near].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(chunks, 1)
+                    again = np.repeat(np.arange(len(near)), chunks)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+                    for s in range(0, len(again), BUCKET):
+                        g = again[s : s + BUCKET]
+                        o, w = other[s : s + BUCKET], own[g]
+                        cols = [bucket[near[g]], np.minimum(o, w), np.maximum(o, w), comps[near[g]]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([rows[r] for r in near[g]], pa.binary())], names=[*by, "comp", "vec"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, by):
-            comp, keys = t.column("comp").to_numpy(), t.column("key").to_numpy()
-            label = reach(_matrix(t.column("sketch")), limit)[0]
-            order = np.lexsort((comp, label))
-            lo = np.full(label.max() + 1, np.iinfo(np.int64).max)
-            hi = np.full(label.max() + 1, np.iinfo(np.int64).min)
-            np.minimum.at(lo, label, comp)
-            np.maximum.at(hi, label, comp)
-            keep = order[(lo < hi)[label[order]]]
-            if len(keep):
-                sub = label[keep].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([t.column(c)[0].as_py()] * len(keep), pa.int64()) for c in by] + [pa.array(sub), pa.array(keys[keep])], names=[*by, "sub", "key"])
+            comp = t.column("comp").to_numpy()
+            if (comp == comp[0]).all():
+                continue
+            x = _unpack(t.column("vec").to_pylist(), dim)
+            _, a, b = reach(x, limit, token_cells(x, limit), JACCARD)
+            pair = np.unique(np.sort(np.stack([comp[a], comp[b]], 1)[comp[a] != comp[b]], axis=1), axis=0)
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    parts = 2 * parallelism(rows.sparkSession)
-    return rows.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, "bucket BIGINT, i BIGINT, j BIGINT, sub BIGINT, key BIGINT")
+    asked = requests.groupBy("piece").agg(F.collect_list("blob").alias("asked"))
+    found = pieces.join(asked, "piece").select("piece", "keys", "comps", "sizes", "vecs", "asked").mapInArrow(fetch, "bucket BIGINT, i BIGINT, j BIGINT, comp BIGINT, vec BINARY")
+    parts = 2 * parallelism(pieces.sparkSession)
+    return found.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(verify, "a BIGINT, b BIGINT").distinct()
+
+
+def _renamed(pieces: DataFrame, links: DataFrame) -> DataFrame:
+    """The pieces with the components that the links leave."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (piece, keys, comps, rows) in enumerate(_read_pieces(b)):
+                told = b.column(5)[k].as_py()
+                if told:
+                    names, at = np.unique(comps, return_inverse=True)
+                    old, new = (np.array([x[c] for x in told]) for c in ("node", "component"))
+                    names = names.copy()
+                    names[np.searchsorted(names, old)] = new
+                    comps = names[at]
+                order = np.argsort(comps, kind="stable")
+                yield _piece_rows([(piece, keys[order], comps[order], [rows[i] for i in order])])
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece, _, comps, _ in _read_pieces(b):
+                names = np.unique(comps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), piece)), pa.array(names)], names=["piece", "node"])
 
-def _bucket_rows(sig: DataFrame, bands: list[int], extra: list[str]) -> DataFrame:
-    """(bucket, i, j, key, ...) of buckets with several records; big ones as pairs of chunks."""
-    rows = sig.select("key", *extra, F.explode(F.slice("bands", bands[0] + 1, len(bands))).alias("bucket"))
-    many = [F.count("*").alias("n")] + ([F.min("comp").alias("lo"), F.max("comp").alias("hi")] if "comp" in extra else [])
-    sizes = rows.groupBy("bucket").agg(*many).where("n > 1" + (" and lo < hi" if "comp" in extra else ""))
-    met = rows.join(sizes.select("bucket", "n"), "bucket").withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("bigint"))
-    own = F.pmod(F.xxhash64("key"), F.col("chunks"))
-    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    return met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", *extra)
+    top = boruvka_components(links, "a", "b").where("node <> component")
+    told = pieces.mapInArrow(homes, "piece BIGINT, node BIGINT").join(top, "node").groupBy("piece").agg(F.collect_list(F.struct("node", "component")).alias("told"))
+    return cut(pieces.join(told, "piece", "left").select("piece", "keys", "comps", "sizes", "vecs", "told").mapInArrow(run, _PIECE), free=True)
 
 
-def _links(rows: DataFrame, vecs: DataFrame, by: list[str], limit: float) -> DataFrame:
-    """(a, b): verified links that join each bucket's components."""
+def _members(pieces: DataFrame) -> DataFrame:
+    """(key, component) of every record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, by):
-            x, keys = _matrix(t.column("vec")), t.column("key").to_numpy()
-            if len(keys) > 1:
-                _, a, b = reach(x, limit, token_cells(x, limit), JACCARD)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], names=["a", "b"])
+        for b in batches:
+            for _, keys, comps, _ in _read_pieces(b):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(comps)], names=["key", "component"])
 
-    parts = 2 * parallelism(rows.sparkSession)
-    full = rows.select(*by, "key").join(vecs, "key").repartition(parts, *by).sortWithinPartitions(*by)
-    return full.mapInArrow(run, "a BIGINT, b BIGINT")
+    return pieces.mapInArrow(run, "key BIGINT, component BIGINT")
 
 
 def similarity_groups(rows: DataFrame, dim: int, limit: float, keep_vectors: bool = False) -> DataFrame:
     """(key, group): groups of records chained by steps of at most ``limit``; group is the smallest key.
 
     ``rows``: key BIGINT (unique), vec ARRAY<DOUBLE> of ``dim`` finite numbers. Records without a
-    similar one are their own group. An empty table gives no rows.
+    similar one are their own group. An empty table gives no rows. All bands are looked at, in rounds
+    that shuffle about as much as the vectors take, so the disk needed does not grow with the bands.
     """
-    flat = rows.select("key", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
-    named = flat.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("vec")))
-    first = named.groupBy("h1", "h2").agg(F.min("key").alias("rep"))
-    member = named.select("key", "h1", "h2").join(first, ["h1", "h2"]).select("key", "rep")
-    heads = flat.join(first.select(F.col("rep").alias("key")), "key").select(F.lit("").alias("scope"), "key", "vec")
-    vecs = cut(_packed(heads, dim).drop("scope"))
-    sig = cut(_signatures(vecs, limit))
-    early = cut(_links(_bucket_rows(sig, list(range(FIRST_BANDS)), []), vecs, ["bucket", "i", "j"], limit))
-    comp = cut(boruvka_components(early, "a", "b"))
-    tagged = sig.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-    mixed = _mixed(_bucket_rows(tagged, list(range(FIRST_BANDS, BANDS)), ["comp", "sketch"]), limit)
-    late = cut(_links(mixed, vecs, ["bucket", "i", "j", "sub"], limit))
-    base = comp.select(F.col("node").alias("key"), "component")
-    ca, cb = (late.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(base, "key", "left").select("key", F.coalesce("component", "key").alias("c")) for _ in range(2))
-    bridges = late.join(ca.withColumnsRenamed({"key": "a", "c": "ca"}), "a").join(cb.withColumnsRenamed({"key": "b", "c": "cb"}), "b")
-    merged = boruvka_components(bridges, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("top"))
-    group = base.withColumnRenamed("key", "rep").join(merged, "component", "left").select("rep", F.coalesce("top", "component").alias("group"))
-    alone = merged.select(F.col("component").alias("rep"), F.col("top").alias("group")).join(group.select("rep"), "rep", "left_anti")
-    found = group.unionByName(alone)
-    return member.join(found, "rep", "left").select("key", F.coalesce("group", "rep").alias("group"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim) + 0.0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pack(flat), pa.binary())], names=["key", "vec"])
+
+    pieces = _pieces(cut(rows.select("key", "vec").mapInArrow(run, "key BIGINT, vec BINARY"), free=True), dim, limit)
+    release(pieces.sparkSession)
+    size = pieces.agg(F.sum(F.length("vecs"))).first()[0] or 0
+    seen, links, at, step = 0, None, 0, FIRST_BANDS
+    while at < BANDS:
+        bands = range(at, min(BANDS, at + step))
+        parts = max(2 * parallelism(rows.sparkSession), seen * len(bands) // PART)
+        requests = cut(_requests(pieces, dim, limit, bands, parts), free=True)
+        if not requests.isEmpty():
+            new = cut(_links(pieces, requests, dim, limit, bands), free=True)
+            if at == 0:
+                pieces = _renamed(pieces, new)
+                release(pieces.sparkSession)
+            else:
+                links = new if links is None else links.unionByName(new)
+        if at == 0:  # bytes of a band, from the components there are now
+            some = _summaries(pieces, dim, limit, bands, 1).agg(F.sum(F.length("blob"))).first()[0]
+            seen = max(1, (some or 0) // len(bands))
+        at = bands.stop
+        step = max(1, int(max(ROUND, size) // seen))
+    found = _members(pieces)
+    if links is None:
+        return found.select("key", F.col("component").alias("group"))
+    top = cut(boruvka_components(links, "a", "b")).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return found.join(top, "component", "left").select("key", F.coalesce("top", "component").alias("group"))
 
 
 def describe_groups(groups: DataFrame, rows: DataFrame, dim: int, limit: float, loose: float = 0.5, typical: int = 3) -> DataFrame:

@@ -219,3 +219,47 @@ def test_pairs_at_the_distance_limit_meet_in_a_band():
     y = x + 2.0 * d / np.linalg.norm(d, axis=1)[:, None]
     met = m.min_hash_bands(m.token_cells(x, 2.0)) == m.min_hash_bands(m.token_cells(y, 2.0))
     assert met.any(1).mean() > 0.9985
+
+
+def test_rounds_of_bands_link_pieces_and_free_their_disk(spark, monkeypatch):
+    """Groups and a chain cut into many pieces; what the rounds shuffle does not stay on disk."""
+    import time
+    from pathlib import Path
+
+    import fellscape.llm.clusters as c
+
+    monkeypatch.setattr(c, "PIECE", 150, raising=False)
+    monkeypatch.setattr(c, "LIST", 100, raising=False)
+    monkeypatch.setattr(c, "ROUND", 1, raising=False)
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(60, 24)) * 6
+    x = np.concatenate([centers[rng.integers(0, 60, 2500)] + rng.normal(size=(2500, 24)) * 0.15, [[i * 0.9] + [40.0] * 23 for i in range(200)], rng.normal(size=(300, 24)) * 6])
+    keys = rng.permutation(9000)[: len(x)]
+    rows = frame(spark, x, keys).drop("scope").cache()
+    dirs = [Path(str(d)) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    used = lambda: sum(p.stat().st_size for d in dirs for p in d.rglob("shuffle_*.data"))
+    rows.count()
+    before = used()
+    groups = similarity_groups(rows, 24, 2.0)
+    time.sleep(2)  # files go a moment later
+    left = used() - before
+    assert {r.key: r.group for r in groups.collect()} == {int(k): int(min(keys[label == m])) for label in [chained(x, 2.0)] for k, m in zip(keys, label)}
+    assert left < 4 * x.nbytes
+
+
+def test_summaries_far_apart_are_not_asked_for():
+    import fellscape.llm.clusters as c
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 24)) * 3
+    q = c._sketch(x, 2.0)
+    all_ = np.zeros(400, c._SUMMARY)
+    all_["bucket"], all_["comp"], all_["lo"], all_["hi"] = np.arange(400) % 3, np.arange(400) // 5, q, q
+    all_ = all_[np.lexsort((all_["lo"][:, 0], all_["bucket"]))]
+    gap = np.maximum(np.abs(all_["lo"][:, None].astype(int) - all_["lo"][None]) - 1, 0)
+    close = (gap**2).sum(2) <= c.STEPS**2
+    close &= (all_["bucket"][:, None] == all_["bucket"]) & (all_["comp"][:, None] != all_["comp"])
+    assert (c.near_summaries(all_) == close.any(1)).all() and 0 < close.any(1).sum() < 400
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    gap = np.maximum(np.abs(q[:, None].astype(int) - q[None]) - 1, 0)
+    assert ((gap**2).sum(2) <= c.STEPS**2)[d2 <= 4].all()
