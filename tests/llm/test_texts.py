@@ -138,3 +138,21 @@ def test_rare_left_contexts_keep_their_counts(spark, monkeypatch):
     assert all(not t[s:e].endswith("Dr.") for i, t in enumerate(docs) for s, e in got[i])
     for r in m.posteriors(m.corpus_counts(table)).collect():
         assert r.p == pytest.approx(model.posterior(r.w1, r.l, r.r)) and r.p0 == pytest.approx(model.posterior("<s>", r.l, r.r))
+
+
+def test_gaps_without_an_end_mark_are_events(spark):
+    """A word that ends blocks without a mark ends a sentence before what begins one, and nowhere else."""
+    rng = random.Random(7)
+    docs = []
+    for i in range(400):
+        running = " ".join(rng.choices(WORDS, k=30))  # too long for a heading
+        docs.append(f"The {running} fin" if i % 2 else f"The {running} fin The {running} of One {running} came down.")
+    got = {}
+    for r in sentences(documents(spark, docs)).collect():
+        got.setdefault(r.doc_id, []).append(docs[r.doc_id][r.start_char : r.end_char])
+    for i, t in enumerate(docs):
+        if i % 2:
+            assert got[i] == [t]
+        else:
+            first, rest = t.split(" fin ")
+            assert sorted(got[i]) == sorted([first + " fin", rest])
